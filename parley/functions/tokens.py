@@ -56,3 +56,9 @@ def grams(tokens: Column, k: int) -> Column:
     starts = F.sequence(F.lit(1), F.size(tokens) - (k - 1))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, k), GRAM_SEPARATOR))
     return F.when(F.size(tokens) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+
+def labelled_grams(tokens: Column, k: int, **constants: int) -> Column:
+    """The ``k``-grams as ``struct(n, gram, ...constants)``."""
+    extra = [F.lit(value).alias(name) for name, value in constants.items()]
+    return F.transform(grams(tokens, k), lambda g: F.struct(F.lit(k).alias("n"), g.alias("gram"), *extra))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parley.functions.alignment import lcs_length, trigram_match_f1, vector_match_f1
 from parley.functions.numeric import round_exact
 from parley.functions.text import present
-from parley.functions.tokens import blank_tokens, grams, punctuation_tokens, word_tokens
+from parley.functions.tokens import blank_tokens, labelled_grams, punctuation_tokens, word_tokens
 from parley.schema import SUMMARY_FIELDS
 
 TOKENIZERS = {"words": word_tokens, "punctuation": punctuation_tokens, "blanks": blank_tokens}
@@ -44,13 +44,13 @@ def gram_counts(tokens: DataFrame, by: list[str], key: list[str], orders: tuple[
     """
     rest = [c for c in tokens.columns if c not in ("hyp", "ref")]
 
-    def entries(side: str, n: int) -> Column:
-        inside = [F.lit(int(side == name)).alias(f"in_{name}") for name in ("hyp", "ref")]
-        return F.transform(
-            grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), *inside)
-        )
-
-    everything = F.concat(*[entries(side, n) for n in orders for side in ("hyp", "ref")])
+    everything = F.concat(
+        *[
+            labelled_grams(F.col(side), n, in_hyp=int(side == "hyp"), in_ref=int(side == "ref"))
+            for n in orders
+            for side in ("hyp", "ref")
+        ]
+    )
     return (
         tokens.repartition(*key)
         .select(*rest, F.explode_outer(everything).alias("_e"))
@@ -151,10 +151,7 @@ def distinct_k(tokens: DataFrame, by: list[str], orders: tuple[int, ...] = (1, 2
 
     Equal k-grams are combined before they move and then meet by (group, k-gram).
     """
-    entries = [
-        F.transform(grams(F.col("hyp"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-        for n in orders
-    ]
+    entries = [labelled_grams(F.col("hyp"), n) for n in orders]
     counted = (
         tokens.select(*by, F.explode_outer(F.concat(*entries)).alias("_e"))
         .groupBy(*by, F.col("_e.n").alias("n"), F.col("_e.gram").alias("gram"))
@@ -216,15 +213,12 @@ def soft_match_with_vectors(
     """
     tokens = tokenized(pairs, [], key, ref, hyp, tokenizer)
     sides = F.concat(
-        *[
-            F.transform(F.col(s), lambda t, s=s: F.struct(F.lit(s).alias("side"), t.alias("token")))
-            for s in ("hyp", "ref")
-        ]
+        labelled_grams(F.col("hyp"), 1, is_ref=0), labelled_grams(F.col("ref"), 1, is_ref=1)
     )
     asked = (
         tokens.repartition(*key)
         .select(*key, F.explode_outer(sides).alias("_e"))
-        .groupBy(*key, F.col("_e.side").alias("side"), F.col("_e.token").alias("token"))
+        .groupBy(*key, F.col("_e.is_ref").alias("is_ref"), F.col("_e.gram").alias("token"))
         .agg(F.count("_e").alias("count"))
         .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)))
     )
@@ -236,8 +230,8 @@ def soft_match_with_vectors(
         asked.join(spread, ["token", "_salt"], "left")
         .groupBy(*key)
         .agg(
-            F.collect_list(F.when(F.col("side") == "hyp", entry)).alias("_hyp"),
-            F.collect_list(F.when(F.col("side") == "ref", entry)).alias("_ref"),
+            F.collect_list(F.when(F.col("is_ref") == 0, entry)).alias("_hyp"),
+            F.collect_list(F.when(F.col("is_ref") == 1, entry)).alias("_ref"),
         )
         .select(*key, vector_match_f1("_hyp", "_ref").alias("soft_match"))
     )
