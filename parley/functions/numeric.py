@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,23 +12,34 @@ from parley.schema import NO_PROBABILITY
 _SPLITTER = float(2**27 + 1)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _rounded_units(magnitude: Column, scale: float) -> Column:
     """``magnitude * scale`` to the nearest integer, judged on the exact binary value.
 
     Spark rounds the shortest decimal spelling of a double (0.1235 -> 0.124); the double itself
-    lies below the tie. The product is taken in two exact halves (Dekker splitting), so that the
-    remainder against the half is exact as well; true ties go to the even neighbour.
+    lies below the tie. The product is taken in two exact halves (Dekker splitting), so the sign of
+    the distance to the tie is right as well; true ties go to the even neighbour.
     """
-    spread = magnitude * _SPLITTER
-    high = spread - (spread - magnitude)
-    low = magnitude - high
-    units = F.floor(magnitude * scale).cast("double")
-    rest = (high * scale - units) + low * scale
-    return (
-        F.when(rest > 0.5, units + 1)
-        .when(rest < 0.5, units)
-        .otherwise(F.when(units % 2 == 0, units).otherwise(units + 1))
-    )
+
+    def halves(m: Column) -> Column:
+        high = m * _SPLITTER - (m * _SPLITTER - m)
+        return F.struct(
+            high.alias("high"), (m - high).alias("low"), F.floor(m * scale).cast("double").alias("units")
+        )
+
+    def nearest(units: Column, rest: Column) -> Column:
+        up = (rest > 0) | ((rest == 0) & (units % 2 == 1))
+        return units + F.when(up, 1.0).otherwise(0.0)
+
+    def remainder(p: Column) -> Column:
+        rest = (p["high"] * scale - p["units"] - 0.5) + p["low"] * scale
+        return _once(rest, lambda r: nearest(p["units"], r))
+
+    return _once(_once(magnitude, halves), remainder)
 
 
 def round_exact(value: Column, digits: int) -> Column:
@@ -49,21 +62,20 @@ def parse_float(value: Column) -> Column:
 
 def format_probability(value: Column) -> Column:
     """Three decimals; anything that is not a finite number reads as not evaluated."""
-    number = parse_float(value)
-    magnitude = F.abs(number)
-    units = _rounded_units(magnitude, 1000.0).cast("long")
-    text = F.concat(
-        F.when(F.ltrim(value.cast("string")).startswith("-"), "-").otherwise(""),
-        F.floor(units / 1000).cast("string"),
-        F.lit("."),
-        F.lpad((units % 1000).cast("string"), 3, "0"),
-    )
-    finite = number.isNotNull() & ~F.isnan(number) & (magnitude != float("inf"))
-    return (
-        F.when(~F.coalesce(finite, F.lit(False)), NO_PROBABILITY)
-        .when(magnitude < 1e9, text)
-        .otherwise(F.format_string("%.3f", number))
-    )
+
+    def shown(number: Column) -> Column:
+        units = _rounded_units(F.abs(number), 1000.0).cast("long")
+        digits = F.lpad(units.cast("string"), F.greatest(F.length(units.cast("string")), F.lit(4)), F.lit("0"))
+        small = _once(digits, lambda d: F.regexp_replace(d, r"(\d{3})$", r".$1"))
+        return (
+            F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), NO_PROBABILITY)
+            .when(F.abs(number) < 1e9, small)
+            .otherwise(F.format_string("%.3f", F.abs(number)))
+        )
+
+    minus = F.ltrim(value.cast("string")).startswith("-")
+    text = _once(parse_float(value), shown)
+    return F.when(minus & ~text.startswith("-"), F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def softmax(logits: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.numeric import argmax, round_exact, softmax
+from parley.functions.numeric import argmax, softmax
 from parley.operators.labels import stage_id, stage_of, strategy_name
 from parley.schema import MODULES, PREDICTION_FIELDS, STAGE_PROBS, STRATEGY_PROBS
 
@@ -48,7 +48,7 @@ def predicted_strategy() -> Column:
 
 
 def _probability(module: str, place: int) -> Column:
-    value = round_exact(F.try_element_at(F.col(module), F.lit(place + 1)), 4)
+    value = F.round(F.try_element_at(F.col(module), F.lit(place + 1)), 4)
     return F.when(_routes()[module], value).otherwise(SKIPPED)
 
 
