@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 512
 
@@ -31,7 +32,7 @@ def common_subsequence(a, b) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(x, y) for x, y in zip(a, b)], dtype="int32")
 
@@ -83,7 +84,7 @@ def trigram_match(hyp, ref) -> float:
     return best_match_f1(similar, *counts)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def trigram_match_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([trigram_match(h, r) for h, r in zip(hyp, ref)], dtype="float64")
 
@@ -109,6 +110,6 @@ def vector_match(hyp, ref) -> float:
     return best_match_f1(lambda i, j: left[i] @ right[j].T, left_counts, right_counts)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def vector_match_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([vector_match(h, r) for h, r in zip(hyp, ref)], dtype="float64")
