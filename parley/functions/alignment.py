@@ -37,6 +37,24 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+ORDERS = (1, 2, 3, 4)
+
+
+def shared_grams(a, b) -> list[int]:
+    """Per order, how many n-grams two lists share, each as often as in the list with fewer."""
+    shared = []
+    for n in ORDERS:
+        counts = [Counter(zip(*(side[i:] for i in range(n)))) for side in (a, b)]
+        shared.append(sum((counts[0] & counts[1]).values()))
+    return shared
+
+
+@F.pandas_udf(T.StructType([T.StructField(f"m{n}", T.IntegerType()) for n in ORDERS]))
+def clipped_matches(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    rows = [shared_grams(h.tolist(), r.tolist()) for h, r in zip(hyp, ref)]
+    return pd.DataFrame(rows, columns=[f"m{n}" for n in ORDERS], dtype="int32")
+
+
 def best_match_f1(similar, left_counts, right_counts) -> float:
     """F1 of the mean best similarity from either side.
 
@@ -56,29 +74,50 @@ def best_match_f1(similar, left_counts, right_counts) -> float:
     return 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
 
 
-def trigram_profile(token: str) -> Counter:
+def trigram_profile(token: str) -> tuple[list[str], list[int]]:
     padded = f" {token} "
-    return Counter(padded[i : i + 3] for i in range(len(padded) - 2))
+    counts = Counter(padded[i : i + 3] for i in range(len(padded) - 2))
+    return list(counts), list(counts.values())
 
 
-def trigram_match(hyp, ref) -> float:
-    """Soft match where two tokens are as similar as their character trigrams."""
+def trigram_match(hyp, ref, profiles: dict) -> float:
+    """Soft match where two tokens are as similar as their character trigrams.
+
+    ``profiles`` remembers the trigrams of the tokens met so far.
+    """
     sides = [Counter(hyp), Counter(ref)]
-    profiles = [[trigram_profile(token) for token in side] for side in sides]
-    names = {gram: i for i, gram in enumerate(set().union(*profiles[0], *profiles[1]))}
-    norms = [np.array([sum(c * c for c in p.values()) for p in side], dtype=float) for side in profiles]
+    for token in (*sides[0], *sides[1]):
+        if token not in profiles:
+            profiles[token] = trigram_profile(token)
+    columns: dict[str, int] = {}
+    for token in (*sides[0], *sides[1]):
+        for gram in profiles[token][0]:
+            columns.setdefault(gram, len(columns))
+
+    def entries(side: Counter):
+        """Row, column and value of every trigram of a side, and where each token's entries start."""
+        found = [profiles[token] for token in side]
+        sizes = [len(grams) for grams, _ in found]
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        rows = np.repeat(np.arange(len(found)), sizes)
+        places = np.fromiter((columns[g] for grams, _ in found for g in grams), int, starts[-1])
+        values = np.fromiter((c for _, counts in found for c in counts), float, starts[-1])
+        norms = np.bincount(rows, values * values, len(found))
+        return rows, places, values, starts, norms
+
+    data = [entries(side) for side in sides]
 
     def dense(side: int, part: slice) -> np.ndarray:
-        rows = profiles[side][part]
-        table = np.zeros((len(rows), len(names)))
-        for i, profile in enumerate(rows):
-            for gram, count in profile.items():
-                table[i, names[gram]] = count
+        rows, places, values, starts, norms = data[side]
+        stop = min(part.stop, len(norms))
+        inside = slice(starts[part.start], starts[stop])
+        table = np.zeros((stop - part.start, len(columns)))
+        table[rows[inside] - part.start, places[inside]] = values[inside]
         return table
 
     def similar(left: slice, right: slice) -> np.ndarray:
         dots = dense(0, left) @ dense(1, right).T
-        return dots / np.sqrt(np.outer(norms[0][left], norms[1][right]))
+        return dots / np.sqrt(np.outer(data[0][4][left], data[1][4][right]))
 
     counts = [np.array(list(side.values()), dtype=float) for side in sides]
     return best_match_f1(similar, *counts)
@@ -86,7 +125,8 @@ def trigram_match(hyp, ref) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def trigram_match_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([trigram_match(h, r) for h, r in zip(hyp, ref)], dtype="float64")
+    profiles: dict = {}
+    return pd.Series([trigram_match(h, r, profiles) for h, r in zip(hyp, ref)], dtype="float64")
 
 
 def vector_match(hyp, ref) -> float:

@@ -10,6 +10,8 @@ from parley.schema import NO_SITUATION, STAGE_ALIASES, lookup
 # --- fixed values -----------------------------------------------------------------------------
 # white space as Unicode text processing defines it (Java's own \s is ASCII only)
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# white space that is not already one single blank
+UNEVEN_SPACE = rf"[\t-\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]{SPACE}*| {SPACE}+"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # speaker marks in tagged text and at line starts
 TAG = r"\[(supporter|seeker)\]"
@@ -42,7 +44,7 @@ def tidy(value: Column) -> Column:
 
 def normalize_text(value: Column) -> Column:
     """Lower case with single spaces; the form in which texts are compared."""
-    return F.trim(F.regexp_replace(F.lower(present(value)), rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.lower(present(value)), UNEVEN_SPACE, " "))
 
 
 def valid_text(value: Column) -> Column:

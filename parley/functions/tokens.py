@@ -20,6 +20,8 @@ CONTRACTIONS = [
     r" (more)('n) ",
     r" ('t)(is|was) ",
 ]
+# what a text must hold for any of them to apply
+CONTRACTED = r"(?i)'|cannot|gimme|lemme|gonna|wanna|gotta"
 # ----------------------------------------------------------------------------------------------
 GRAM_SEPARATOR = "\u0001"
 
@@ -37,16 +39,13 @@ def word_tokens(value: Column) -> Column:
     for pattern in CONTRACTIONS:
         around = " " if pattern.startswith(" ") else ""
         text = F.regexp_replace(text, pattern, rf"{around}$1 $2 ")
-    return _nonempty(F.split(text, " +"))
+    # most texts have no contraction and skip the replacements
+    return F.when(present(value).rlike(CONTRACTED), F.regexp_extract_all(text, F.lit("[^ ]+"), F.lit(0))).otherwise(plain)
 
 
 def blank_tokens(value: Column) -> Column:
     """Tokens between white space, as they are."""
-    return _nonempty(F.split(present(value), rf"{SPACE}+"))
-
-
-def _nonempty(tokens: Column) -> Column:
-    return F.filter(tokens, lambda token: token != "")
+    return F.regexp_extract_all(present(value), F.lit(f"[^{SPACE[1:]}+"), F.lit(0))
 
 
 def grams(tokens: Column, k: int) -> Column:

@@ -1,8 +1,8 @@
 """Corpus-level quality of generated text against references, per group.
 
-Input is one row per (reference, hypothesis) pair. Tokens of a row are moved at most once, by row
-key; counting, clipping and per-row scores then happen in place, and only sums travel to the groups,
-so one group with a large share of the rows is no hot spot.
+Input is one row per (reference, hypothesis) pair. Scores of a pair are computed where the row is,
+and only partial sums travel to the groups, so one group with a large share of the rows is no hot
+spot. Distinct k-grams are the one thing that needs a shuffle; equal ones are combined before it.
 """
 
 from __future__ import annotations
@@ -10,14 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.alignment import lcs_length, trigram_match_f1, vector_match_f1
+from parley.functions.alignment import (
+    ORDERS,
+    clipped_matches,
+    lcs_length,
+    trigram_match_f1,
+    vector_match_f1,
+)
 from parley.functions.numeric import round_exact
 from parley.functions.text import present
 from parley.functions.tokens import blank_tokens, labelled_grams, punctuation_tokens, word_tokens
 from parley.schema import SUMMARY_FIELDS
 
 TOKENIZERS = {"words": word_tokens, "punctuation": punctuation_tokens, "blanks": blank_tokens}
-ORDERS = (1, 2, 3, 4)
 SMOOTHING = 5
 BETA = 1.2
 
@@ -37,57 +42,21 @@ def tokenized(
     )
 
 
-def gram_counts(tokens: DataFrame, by: list[str], key: list[str], orders: tuple[int, ...]) -> DataFrame:
-    """How often every n-gram occurs on either side of a row: ``n, gram, in_hyp, in_ref``.
+def row_scores(tokens: DataFrame, rouge: bool = True, soft: bool = True) -> DataFrame:
+    """Per pair: lengths, clipped n-gram matches ``m1..m4``, unigram F1, ROUGE-L and soft match.
 
-    Rows without any n-gram stay with a NULL gram. All other columns but the tokens are kept.
+    All of it is computed within the row in one Arrow pass, so nothing is shuffled. Clipping by
+    exploding n-grams instead costs a move of all tokens and eight hashed rows per token.
     """
-    rest = [c for c in tokens.columns if c not in ("hyp", "ref")]
-
-    everything = F.concat(
-        *[
-            labelled_grams(F.col(side), n, in_hyp=int(side == "hyp"), in_ref=int(side == "ref"))
-            for n in orders
-            for side in ("hyp", "ref")
-        ]
+    rows = tokens.withColumns(
+        {"h_len": F.size("hyp"), "r_len": F.size("ref"), "_m": clipped_matches("hyp", "ref")}
     )
-    return (
-        tokens.repartition(*key)
-        .select(*rest, F.explode_outer(everything).alias("_e"))
-        .select(*rest, "_e.*")
-        .groupBy(*rest, "n", "gram")
-        .agg(F.sum("in_hyp").alias("in_hyp"), F.sum("in_ref").alias("in_ref"))
-    )
-
-
-def row_scores(
-    tokens: DataFrame,
-    by: list[str],
-    key: list[str],
-    orders: tuple[int, ...] = ORDERS,
-    rouge: bool = True,
-    soft: bool = True,
-) -> DataFrame:
-    """Per pair: lengths, clipped n-gram matches ``m1..``, unigram F1, ROUGE-L and soft match."""
-    lengths = tokens.withColumn("h_len", F.size("hyp")).withColumn("r_len", F.size("ref"))
     if rouge:
-        lengths = lengths.withColumn("lcs", lcs_length("hyp", "ref"))
+        rows = rows.withColumn("lcs", lcs_length("hyp", "ref"))
     if soft:
-        lengths = lengths.withColumn("soft", trigram_match_f1("hyp", "ref"))
-    rest = [c for c in lengths.columns if c not in ("hyp", "ref")]
-    matched = F.least("in_hyp", "in_ref")
-    rows = (
-        gram_counts(lengths, by, key, orders)
-        .groupBy(*rest)
-        .agg(
-            *[
-                F.coalesce(F.sum(F.when(F.col("n") == n, matched)), F.lit(0)).alias(f"m{n}")
-                for n in orders
-            ]
-        )
-    )
-    if 1 in orders:
-        rows = rows.withColumn("f1", overlap_f1(F.col("m1"), F.col("h_len"), F.col("r_len")))
+        rows = rows.withColumn("soft", trigram_match_f1("hyp", "ref"))
+    rows = rows.select(*[c for c in rows.columns if c not in ("hyp", "ref", "_m")], "_m.*")
+    rows = rows.withColumn("f1", overlap_f1(F.col("m1"), F.col("h_len"), F.col("r_len")))
     if rouge:
         rows = rows.withColumn("rouge_l", rouge_l(F.col("lcs"), F.col("h_len"), F.col("r_len")))
     return rows
@@ -106,44 +75,31 @@ def rouge_l(lcs: Column, hyp_len: Column, ref_len: Column) -> Column:
     return F.when(lcs > 0, (1 + BETA**2) * precision * recall / weighted).otherwise(0.0)
 
 
-def bleu(k: int, matched: list[Column], totals: list[Column], hyp_len: Column, ref_len: Column) -> Column:
-    """Corpus BLEU of order ``k`` with weights 1/k (Papineni et al. 2002).
-
-    Orders without a match are smoothed (Chen and Cherry 2014, method 4) as long as there is more
-    than one hypothesis token; all four orders take part in the smoothing whatever ``k`` is.
-    """
-    log_len = F.log(F.greatest(hyp_len, F.lit(2)).cast("double"))
-    seen = F.lit(0)
-    usable = matched[0] > 0
-    total_log = F.lit(0.0)
-    for n, (hits, total) in enumerate(zip(matched, totals), start=1):
-        empty = (hits == 0) & (hyp_len > 1)
-        seen = seen + F.when(empty, 1).otherwise(0)
-        smoothed = log_len / (F.pow(F.lit(2.0), seen) * SMOOTHING)
-        precision = F.when(empty, smoothed).otherwise(hits.cast("double")) / total
-        usable = usable & (precision > 0)
-        if n <= k:
-            total_log = total_log + F.log(precision) / k
-    brevity = F.when(hyp_len > ref_len, 1.0).otherwise(
-        F.exp(1 - ref_len / F.greatest(hyp_len, F.lit(1)).cast("double"))
-    )
-    return F.when(usable, brevity * F.exp(total_log)).otherwise(0.0)
-
-
-def bleu_parts(rows: DataFrame, by: list[str]) -> list[Column]:
+def bleu_parts() -> list[Column]:
     """Aggregates over pairs: matches ``N1..4``, totals ``D1..4`` (at least 1 per pair), lengths."""
     parts = []
     for n in ORDERS:
         parts.append(F.sum(f"m{n}").alias(f"N{n}"))
-        parts.append(F.sum(F.greatest(F.col("h_len") - (n - 1), F.lit(1))).alias(f"D{n}"))
+        parts.append(F.expr(f"sum(greatest(h_len - {n - 1}, 1))").alias(f"D{n}"))
     return [*parts, F.sum("h_len").alias("H"), F.sum("r_len").alias("R")]
 
 
 def bleu_of(k: int) -> Column:
-    """BLEU-k over the columns named by :func:`bleu_parts`."""
-    matched = [F.col(f"N{n}") for n in ORDERS]
-    totals = [F.col(f"D{n}") for n in ORDERS]
-    return bleu(k, matched, totals, F.col("H"), F.col("R"))
+    """Corpus BLEU of order ``k`` with weights 1/k over :func:`bleu_parts` (Papineni et al. 2002).
+
+    Orders without a match are smoothed (Chen and Cherry 2014, method 4) as long as there is more
+    than one hypothesis token; all four orders take part in the smoothing whatever ``k`` is. An
+    order that stays at zero makes the score zero.
+    """
+    precisions = []
+    for n in ORDERS:
+        empty_before = " + ".join(f"int(N{m} = 0)" for m in range(1, n + 1))
+        smoothed = f"ln(H) / (pow(2, {empty_before}) * {SMOOTHING})"
+        precisions.append(f"(if(N{n} = 0 and H > 1, {smoothed}, double(N{n})) / D{n})")
+    usable = " and ".join(["N1 > 0", *[f"{p} > 0" for p in precisions[1:]]])
+    logs = " + ".join(f"ln({p})" for p in precisions[:k])
+    brevity = "if(H > R, 1.0D, exp(1 - R / double(H)))"
+    return F.expr(f"if({usable}, {brevity} * exp(({logs}) / {k}), 0.0D)")
 
 
 def distinct_k(tokens: DataFrame, by: list[str], orders: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -178,14 +134,14 @@ def evaluate_generation(
 ) -> DataFrame:
     """All text metrics per group, times 100 (the mean length is not scaled)."""
     tokens = tokenized(pairs, by, key, ref, hyp, tokenizer)
-    rows = row_scores(tokens, by, key)
+    rows = row_scores(tokens)
     sums = rows.groupBy(*by).agg(
         F.count("*").alias("pairs"),
         F.avg("h_len").alias("length"),
         F.avg("f1").alias("f1"),
         F.avg("rouge_l").alias("rouge_l"),
         F.avg("soft").alias("soft_match"),
-        *bleu_parts(rows, by),
+        *bleu_parts(),
     )
     return sums.join(distinct_k(tokens, by), by).select(
         *by,

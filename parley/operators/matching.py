@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from parley.functions.text import normalize_text, render_turns, tidy
 from parley.operators.context import is_supporter, transcripts
 from parley.operators.positions import with_position
-from parley.session import durable
 
 CORPUS_SOURCE = "corpus"
 CONTEXT_SOURCE = "context"
@@ -36,8 +35,9 @@ def lookup_keys(turns: DataFrame, strategy: str = "strategy", response: str = "t
         "turn_idx",
     )
     order = ["split_ord", "conv_id", "turn_idx"]
-    by_pair = with_position(keys, ["strategy_n", "response_n"], order, "pair_rank")
-    return with_position(by_pair, ["response_n"], order, "response_rank")
+    return with_position(
+        keys, ["response_n"], order, "response_rank", finer=(["strategy_n"], "pair_rank")
+    )
 
 
 def build_lookup(utterances: DataFrame, strategy: str = "strategy", response: str = "text") -> DataFrame:
@@ -60,7 +60,8 @@ def match_requests(
 
     ``keys`` name the columns that identify a request and give the order in which requests are
     served; ``group`` names columns (such as the generator) within which serving starts afresh.
-    Returns ``keys + conv and turn of the corpus + match_kind``.
+    Requests without a reply match nothing. Returns ``group, keys, corpus_conv, corpus_turn`` and
+    ``match_kind`` (pair, response or none).
     """
     group = group or []
     wanted = requests.select(
@@ -68,43 +69,30 @@ def match_requests(
         normalize_text(F.col(strategy)).alias("strategy_n"),
         normalize_text(F.col(response)).alias("response_n"),
     )
-    corpus = lookup.select(
-        "strategy_n",
-        "response_n",
-        "pair_rank",
-        "response_rank",
-        F.col("conv_id").alias("corpus_conv"),
-        F.col("turn_idx").alias("corpus_turn"),
-    )
-    place = ["corpus_conv", "corpus_turn"]
-    ranked = with_position(
-        wanted.filter("response_n <> ''"), [*group, "strategy_n", "response_n"], keys, "pair_rank"
+    place = [F.col("conv_id").alias("corpus_conv"), F.col("turn_idx").alias("corpus_turn")]
+    corpus = lookup.filter("response_n <> ''")
+    by_pair = corpus.select("strategy_n", "response_n", "pair_rank", *place)
+    by_response = corpus.select(
+        "response_n", "response_rank", *[c.alias(f"other_{i}") for i, c in enumerate(place)]
     )
-    first = durable(
-        ranked.join(corpus.drop("response_rank"), ["strategy_n", "response_n", "pair_rank"], "left")
+    ranked = with_position(wanted, [*group, "strategy_n", "response_n"], keys, "pair_rank")
+    first = ranked.join(by_pair, ["strategy_n", "response_n", "pair_rank"], "left")
+    missed = F.col("corpus_conv").isNull()
+    queued = with_position(first, [*group, "response_n"], keys, "_queue", counted=missed)
+    # rows that are served already ask for ranks that do not exist, each for another one
+    rank = F.when(missed, F.col("_queue")).otherwise(-F.col("pair_rank"))
+    served = queued.withColumn("response_rank", rank).join(
+        by_response, ["response_n", "response_rank"], "left"
     )
-    columns = list(dict.fromkeys([*group, *keys]))
-    by_pair = first.filter("corpus_conv is not null").select(*columns, *place, F.lit("pair").alias("match_kind"))
-    left_over = with_position(
-        first.filter("corpus_conv is null").select(*columns, "response_n"),
-        [*group, "response_n"],
-        keys,
-        "response_rank",
-    )
-    by_response = left_over.join(
-        corpus.drop("strategy_n", "pair_rank"), ["response_n", "response_rank"], "left"
-    ).select(
-        *columns,
-        *place,
-        F.when(F.col("corpus_conv").isNotNull(), "response").otherwise("none").alias("match_kind"),
-    )
-    blank = wanted.filter("response_n = ''").select(
-        *columns,
-        F.lit(None).cast("bigint").alias("corpus_conv"),
-        F.lit(None).cast("int").alias("corpus_turn"),
-        F.lit("none").alias("match_kind"),
+    return served.select(
+        *dict.fromkeys([*group, *keys]),
+        F.coalesce("corpus_conv", "other_0").alias("corpus_conv"),
+        F.coalesce("corpus_turn", "other_1").alias("corpus_turn"),
+        F.when(~missed, "pair")
+        .when(F.col("other_0").isNotNull(), "response")
+        .otherwise("none")
+        .alias("match_kind"),
     )
-    return by_pair.unionByName(by_response).unionByName(blank)
 
 
 def attach_context(

@@ -57,35 +57,61 @@ def with_turn_index(turns: DataFrame, counted: Column | None = None, cell: int =
     )
 
 
-def with_position(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+def with_position(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    name: str,
+    counted: Column | None = None,
+    finer: tuple[list[str], str] | None = None,
+) -> DataFrame:
     """``row_number() over (partition by group order by order)`` without one task per group.
 
+    With ``counted`` only such rows raise the number. ``finer = (columns, name)`` adds a second
+    number within ``group + columns`` in the same pass.
+
     Rows are range-partitioned by (group, order), so a hot group spans many parts. The sampled
-    range bounds must not move between the two uses, hence the checkpoint; hand in narrow rows.
-    At most one group per part goes on from an earlier part, so the carried counts are never more
-    rows than there are parts and may be broadcast.
+    range bounds must not move between the uses of the parts, hence the checkpoint; hand in narrow
+    rows. At most one group per part goes on from an earlier part, so the carried counts of the
+    group are never more rows than there are parts and may be broadcast. The finer ones are left
+    to the planner.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     ranged = durable(
-        df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
-    )
-    keys = [f"_g{i}" for i in range(len(group))]
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        ranged.groupBy("_part", *[F.col(g).alias(k) for g, k in zip(group, keys)])
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(earlier))
-        .filter("_before > 0")
-        .select(F.col("_part").alias("_p"), *keys, "_before")
-    )
-    same = F.col("_part") == F.col("_p")
-    for g, k in zip(group, keys):
-        same = same & F.col(g).eqNullSafe(F.col(k))
-    within = Window.partitionBy("_part", *group).orderBy(*order)
-    return (
-        ranged.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(carried), same, "left")
-        .withColumn(name, F.col("_row") + F.coalesce("_before", F.lit(0)))
-        .select(*df.columns, name)
+        df.withColumn("_step", steps)
+        .repartitionByRange(parts, *group, *order)
+        .withColumn("_part", F.spark_partition_id())
     )
+
+    def numbered(rows: DataFrame, keys: list[str], column: str, small: bool) -> DataFrame:
+        names = [f"_g{i}" for i in range(len(keys))]
+        earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            ranged.groupBy("_part", *[F.col(k).alias(n) for k, n in zip(keys, names)])
+            .agg(F.sum("_step").alias("_n"))
+            .withColumn("_before", F.sum("_n").over(earlier))
+            .filter("_before > 0")
+            .select(F.col("_part").alias("_p"), *names, "_before")
+        )
+        same = F.col("_part") == F.col("_p")
+        for k, n in zip(keys, names):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        seen = (
+            Window.partitionBy("_part", *keys)
+            .orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return (
+            rows.withColumn("_place", F.sum("_step").over(seen))
+            .join(F.broadcast(carried) if small else carried, same, "left")
+            .withColumn(column, F.col("_place") + F.coalesce("_before", F.lit(0)))
+            .drop("_place", "_p", "_before", *names)
+        )
+
+    result = numbered(ranged, group, name, small=True)
+    columns = [*df.columns, name]
+    if finer is not None:
+        result = numbered(result, [*group, *finer[0]], finer[1], small=False)
+        columns.append(finer[1])
+    return result.select(*columns)

@@ -14,6 +14,7 @@ from parley.functions.tokens import punctuation_tokens
 from parley.operators.context import evaluation_examples
 from parley.operators.labels import raw_strategy_name, stage_id, stage_of, strategy_name
 from parley.operators.positions import CELL, with_turn_index
+from parley.schema import STAGES
 
 CONVERSATIONS = T.StructType(
     [
@@ -89,15 +90,11 @@ def utterances(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def weight(j: int) -> Column:
-    return (F.col("conv_id") * 31 + F.col("turn") * 17 + j * 13) % 97 + 1
-
-
-def share(j: int, of: list[int]) -> Column:
+def share(j: int, of: list[int]) -> str:
     """A weight over a sum of weights at four decimals, in integers until the last step."""
-    total = sum((weight(i) for i in of[1:]), weight(of[0]))
-    units = F.floor((weight(j) * 20000 + total) / (2 * total))
-    return units / 10000.0
+    weight = "((conv_id * 31 + turn * 17 + {} * 13) % 97 + 1)"
+    total = "(" + " + ".join(weight.format(i) for i in of) + ")"
+    return f"double(({weight.format(j)} * 20000 + {total}) div (2 * {total})) / 10000"
 
 
 def with_predictions(examples: DataFrame) -> DataFrame:
@@ -106,10 +103,11 @@ def with_predictions(examples: DataFrame) -> DataFrame:
     rows = rows.withColumn("stage_pred", stage_of(F.col("strategy_pred_id")))
     route = F.col("stage_pred")
 
-    def on(condition: Column, j: int, of: list[int]) -> Column:
-        return F.when(condition, share(j, of)).otherwise(-1.0)
+    def on(condition: str, j: int, of: list[int]) -> Column:
+        return F.expr(f"if({condition}, {share(j, of)}, -1.0D)")
 
-    beyond = route != "Exploration"
+    beyond = "stage_pred <> 'Exploration'"
+    explore, comfort, act = [f"stage_pred = '{stage}'" for stage in STAGES[:3]]
     return rows.withColumns(
         {
             "stage_true": stage_of(F.col("strategy_true_id")),
@@ -117,18 +115,18 @@ def with_predictions(examples: DataFrame) -> DataFrame:
             "stage_true_id": stage_id(stage_of(F.col("strategy_true_id"))),
             "strategy_pred": strategy_name(F.col("strategy_pred_id")),
             "strategy_true": strategy_name(F.col("strategy_true_id")),
-            "prob_ex": share(8, [8, 9]),
-            "prob_su": share(9, [8, 9]),
+            "prob_ex": F.expr(share(8, [8, 9])),
+            "prob_su": F.expr(share(9, [8, 9])),
             "prob_co": on(beyond, 10, [10, 11, 12]),
             "prob_ac": on(beyond, 11, [10, 11, 12]),
             "prob_ot": on(beyond, 12, [10, 11, 12]),
-            "prob_qu": on(~beyond, 0, [0, 1]),
-            "prob_rp": on(~beyond, 1, [0, 1]),
-            "prob_rf": on(route == "Comforting", 2, [2, 3, 4]),
-            "prob_sd": on(route == "Comforting", 3, [2, 3, 4]),
-            "prob_ar": on(route == "Comforting", 4, [2, 3, 4]),
-            "prob_ps": on(route == "Action", 5, [5, 6]),
-            "prob_in": on(route == "Action", 6, [5, 6]),
+            "prob_qu": on(explore, 0, [0, 1]),
+            "prob_rp": on(explore, 1, [0, 1]),
+            "prob_rf": on(comfort, 2, [2, 3, 4]),
+            "prob_sd": on(comfort, 3, [2, 3, 4]),
+            "prob_ar": on(comfort, 4, [2, 3, 4]),
+            "prob_ps": on(act, 5, [5, 6]),
+            "prob_in": on(act, 6, [5, 6]),
         }
     )
 

@@ -25,8 +25,8 @@ def _rounded(df: DataFrame, keep: list[str], digits: int = 6) -> DataFrame:
 
 
 def bleu(spark: SparkSession, folder: str) -> DataFrame:
-    rows = gm.row_scores(_tokens(spark, folder), BY, KEY, rouge=False, soft=False)
-    sums = rows.groupBy(*BY).agg(*gm.bleu_parts(rows, BY))
+    rows = gm.row_scores(_tokens(spark, folder), rouge=False, soft=False)
+    sums = rows.groupBy(*BY).agg(*gm.bleu_parts())
     counts = [c for c in sums.columns if c not in BY]
     scores = [F.round(100 * gm.bleu_of(k), 6).alias(f"bleu_{k}") for k in (1, 2, 3, 4)]
     return sums.select(*BY, *counts, *scores)
@@ -35,8 +35,7 @@ def bleu(spark: SparkSession, folder: str) -> DataFrame:
 def bleu_punctuation(spark: SparkSession, folder: str) -> DataFrame:
     """BLEU over all pairs as one group, on punctuation tokens without contractions."""
     tokens = gm.tokenized(corpus.reply_pairs(spark, folder), [], KEY, tokenizer="punctuation")
-    rows = gm.row_scores(tokens, [], KEY, rouge=False, soft=False)
-    sums = rows.agg(*gm.bleu_parts(rows, []))
+    sums = gm.row_scores(tokens, rouge=False, soft=False).agg(*gm.bleu_parts())
     return sums.select("*", *[F.round(100 * gm.bleu_of(k), 6).alias(f"bleu_{k}") for k in (1, 2)])
 
 
@@ -46,7 +45,7 @@ def distinct_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def unigram_f1(spark: SparkSession, folder: str) -> DataFrame:
     """Per pair; the report averages these."""
-    rows = gm.row_scores(_tokens(spark, folder), BY, KEY, (1,), rouge=False, soft=False)
+    rows = gm.row_scores(_tokens(spark, folder), rouge=False, soft=False)
     return rows.select(*KEY, "m1", F.round("f1", 6).alias("f1"))
 
 

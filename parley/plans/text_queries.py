@@ -32,7 +32,8 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tokens(df: DataFrame, key: list[str], tokens) -> DataFrame:
-    return df.select(*key, F.size(tokens).alias("n"), F.array_join(tokens, " ").alias("tokens"))
+    cut = df.select(*key, tokens.alias("t"))
+    return cut.select(*key, F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 def tokenize_punct(spark: SparkSession, folder: str) -> DataFrame:

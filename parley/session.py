@@ -20,6 +20,11 @@ def local_session(cores: str = "*", name: str = "parley", **conf: str) -> SparkS
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # little data: let it still be spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        # do not record a Python stack for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
