@@ -45,13 +45,13 @@ def with_turn_index(turns: DataFrame, counted: Column | None = None, cell: int =
     seen = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        pieces.withColumn("_place", F.count_if(counted).over(seen) - 1)
+        pieces.withColumn("_seen", F.count_if(counted).over(seen) - 1)
         .withColumn("_own_situation", F.max(F.when(system, F.col("text"))).over(whole))
         .filter(counted)
         .join(carried, ["conv_id", "_cell"], "left")
         .select(
             *turns.columns,
-            (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int").alias("turn_idx"),
+            (F.col("_seen") + F.coalesce("_before", F.lit(0))).cast("int").alias("turn_idx"),
             F.coalesce("_carried_situation", "_own_situation").alias("situation"),
         )
     )
@@ -103,10 +103,10 @@ def with_position(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         return (
-            rows.withColumn("_place", F.sum("_step").over(seen))
+            rows.withColumn("_seen", F.sum("_step").over(seen))
             .join(F.broadcast(carried) if small else carried, same, "left")
-            .withColumn(column, F.col("_place") + F.coalesce("_before", F.lit(0)))
-            .drop("_place", "_p", "_before", *names)
+            .withColumn(column, F.col("_seen") + F.coalesce("_before", F.lit(0)))
+            .drop("_seen", "_p", "_before", *names)
         )
 
     result = numbered(ranged, group, name, small=True)

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -32,26 +34,28 @@ def _words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_words", punctuation_tokens(F.col(text)))
 
 
-def fit_text_classifier(
-    train: DataFrame, regularization: float, text: str = "context", label: str = "label", features: int = FEATURES
-) -> PipelineModel:
+def fit_features(train: DataFrame, text: str = "context", features: int = FEATURES) -> PipelineModel:
+    """Hashed word counts, weighted by how rare the words are in the training texts."""
     stages = [
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(
-            featuresCol="_features",
-            labelCol=label,
-            family="multinomial",
-            regParam=regularization,
-            maxIter=20,
-            probabilityCol="_probability",
-            rawPredictionCol="_raw",
-            predictionCol="_prediction",
-        ),
     ]
     return Pipeline(stages=stages).fit(_words(train, text))
 
 
+def _classifier(label: str, regularization: float) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="_features",
+        labelCol=label,
+        family="multinomial",
+        regParam=regularization,
+        maxIter=20,
+        probabilityCol="_probability",
+        rawPredictionCol="_raw",
+        predictionCol="_prediction",
+    )
+
+
 def score_text(model: PipelineModel, df: DataFrame, output: str, text: str = "context") -> DataFrame:
     """Add the class probabilities of a text as an array column."""
     scored = model.transform(_words(df, text))
@@ -73,15 +77,23 @@ def fit_best(
     features: int = FEATURES,
 ) -> tuple[PipelineModel, float]:
     """The candidate with the highest validation macro F1, and that score."""
-    best: tuple[PipelineModel, float] | None = None
-    for value in grid:
-        model = fit_text_classifier(train, value, text, label, features)
-        score = macro_f1(score_text(model, validation, "_p", text), "_p", label)
-        if best is None or score > best[1]:
-            best = (model, score)
-    if best is None:
+    if not grid:
         raise ValueError("the grid is empty")
-    return best
+    weigh = fit_features(train, text, features)
+    ready = weigh.transform(_words(train, text)).select("_features", label).persist()
+    check = weigh.transform(_words(validation, text)).select("_features", label).persist()
+    try:
+        tried = []
+        for value in grid:
+            model = _classifier(label, value).fit(ready)
+            probs = model.transform(check).select(label, vector_to_array("_probability").alias("_p"))
+            tried.append((macro_f1(probs, "_p", label), model))
+    finally:
+        ready.unpersist()
+        check.unpersist()
+    # max keeps the first of equal scores
+    score, model = max(tried, key=lambda pair: pair[0])
+    return PipelineModel([*weigh.stages, model]), score
 
 
 def train_modules(
@@ -91,6 +103,7 @@ def train_modules(
 
     The examples are made once for all modules and stored, as every fit reads them repeatedly.
     """
+    spark = utterances.sparkSession
     examples = durable(module_examples(utterances))
     balanced_names = [name for name, _, _, oversample, _ in MODULES if oversample]
     train = examples.filter("split = 'train'")
@@ -99,17 +112,16 @@ def train_modules(
             train.filter(F.col("module").isin(balanced_names)), ["module"], ["conv_id", "turn_idx"]
         )
     )
-    models = {}
-    for name, *_ in MODULES:
-        source = balanced.drop("copy") if name in balanced_names else train
+    def fit(name: str) -> tuple[PipelineModel, float]:
         own = F.col("module") == name
-        models[name] = fit_best(
-            source.filter(own),
-            examples.filter(own & (F.col("split") == "validation")),
-            grid,
-            features=features,
-        )
-    return models
+        source = balanced.drop("copy") if name in balanced_names else train
+        checked = examples.filter(own & (F.col("split") == "validation"))
+        return fit_best(source.filter(own), checked, grid, features=features)
+
+    # the modules do not depend on each other, so their Spark jobs are submitted side by side
+    names = [name for name, *_ in MODULES]
+    with ThreadPool(len(names)) as pool:
+        return dict(zip(names, pool.map(inheritable_thread_target(spark)(fit), names)))
 
 
 def scorers(models: dict[str, PipelineModel]) -> dict[str, Callable[[DataFrame], DataFrame]]:
