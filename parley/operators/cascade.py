@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parley.functions.numeric import argmax, softmax
 from parley.operators.labels import stage_id, stage_of, strategy_name
 from parley.schema import MODULES, PREDICTION_FIELDS, STAGE_PROBS, STRATEGY_PROBS
+from parley.session import durable
 
 FIRST, SECOND, EXPLORE, COMFORT, ACT = [name for name, *_ in MODULES]
 # strategy ids start here for each predictor
@@ -99,13 +100,13 @@ def score_by_route(
 ) -> DataFrame:
     """Run each module on the rows that reach it, as ``score[module](rows)``.
 
-    Every scorer adds the probability column of its module. ``df`` should be durable: each branch
-    reads it again, filtered by the identifiers.
+    Every scorer adds the probability column of its module. What the identifiers give is stored,
+    as several branches read it: each model then runs once, and only on the rows routed to it.
     """
-    first = score[FIRST](df)
+    first = durable(score[FIRST](df))
     unset = {m: F.lit(None).cast("array<double>") for m in (SECOND, *OFFSETS)}
     explore = first.filter(_routes()[EXPLORE])
-    rest = score[SECOND](first.filter(_routes()[SECOND]))
+    rest = durable(score[SECOND](first.filter(_routes()[SECOND])))
     branches = [
         (score[EXPLORE](explore), [SECOND, COMFORT, ACT]),
         (score[COMFORT](rest.filter(_routes()[COMFORT])), [EXPLORE, ACT]),

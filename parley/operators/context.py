@@ -98,38 +98,30 @@ def with_history(utterances: DataFrame, value: Column, name: str, cell: int = HI
 
     A row holds its whole history, so a conversation has to fit a row in any case; what grows
     with the square of its length is the output. That output is spread over pieces of ``cell``
-    turns: each row sees its own piece through a running window, and only conversations longer
-    than one piece fetch what their earlier pieces hold.
+    turns: each row sees its own piece through a running window and gets the earlier pieces by a
+    join. Only a full piece has turns after it, so short conversations send nothing to that join.
     """
     pieces = utterances.withColumn("_said", value).withColumn(
         "_cell", F.floor(F.col("turn_idx") / cell).cast("long")
     )
-    running = (
-        Window.partitionBy("conv_id", "_cell").orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy("conv_id", "_cell").orderBy("turn_idx")
+    own = F.collect_list("_said").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    so_far = (
+        Window.partitionBy("conv_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    long_ones = pieces.filter(F.col("turn_idx") >= cell).select("conv_id").distinct()
-    earlier = (
-        pieces.join(long_ones, "conv_id", "left_semi")
-        .groupBy("conv_id", "_cell")
-        .agg(F.sort_array(F.collect_list(F.struct("turn_idx", "_said"))).alias("_piece"))
-        .withColumn(
-            "_earlier",
-            F.flatten(
-                F.collect_list("_piece").over(
-                    Window.partitionBy("conv_id")
-                    .orderBy("_cell")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                )
-            ),
-        )
-        .filter("_cell > 0")
-        .select(
-            "conv_id",
-            "_cell",
-            F.array_compact(F.transform("_earlier", lambda x: x["_said"])).alias("_earlier"),
-        )
+    # the row that ends a full piece has all others of it before itself
+    full = (
+        pieces.select("conv_id", "_cell", "turn_idx", "_said")
+        .withColumn("_own", own)
+        .filter(F.col("turn_idx") % cell == cell - 1)
+    )
+    earlier = full.select(
+        "conv_id",
+        (F.col("_cell") + 1).alias("_cell"),
+        F.flatten(
+            F.collect_list(F.concat("_own", F.array_compact(F.array("_said")))).over(so_far)
+        ).alias("_earlier"),
     )
-    own = F.collect_list("_said").over(running)
     return (
         pieces.withColumn("_own", own)
         .join(earlier, ["conv_id", "_cell"], "left")

@@ -108,12 +108,17 @@ def attach_context(
     match falls back to its own context. The dialogue is rendered one line per turn.
     """
     said = corpus.select(
-        F.col("conv_id").alias("corpus_conv"),
-        F.col("turn_idx").alias("corpus_turn"),
+        F.col("conv_id").alias("_conv"),
+        F.col("turn_idx").cast("long").alias("_turn"),
         F.col("input_dialog").alias("_dialog"),
         F.col("situation").alias("_situation"),
     )
-    found = matches.join(said, ["corpus_conv", "corpus_turn"], "left")
+    # requests without a match must not all meet under one NULL key
+    nowhere = -1 - F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    found = matches.withColumn("_conv", F.coalesce("corpus_conv", F.lit(-1))).withColumn(
+        "_turn", F.coalesce(F.col("corpus_turn").cast("long"), nowhere)
+    )
+    found = found.join(said, ["_conv", "_turn"], "left")
     hit = F.col("match_kind") != "none"
     own = requests.drop("situation", "input_dialog", "context_source")
     return own.join(found, keys, "left").select(

@@ -50,10 +50,8 @@ def cascade_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def cascade_by_route(spark: SparkSession, folder: str) -> DataFrame:
     """The same predictions, each module run only on the rows that reach it."""
-    rows = durable(
-        corpus.embeddings(spark, folder).select(
-            "vec_id", F.slice("embedding", 1, 12).alias("embedding"), (F.col("label") % 8).alias("strategy_true_id")
-        )
+    rows = corpus.embeddings(spark, folder).select(
+        "vec_id", F.slice("embedding", 1, 12).alias("embedding"), (F.col("label") % 8).alias("strategy_true_id")
     )
     score = {
         m: (lambda df, m=m, ends=ends: cascade.with_probabilities(df, {m: _logits(*ends)}))
@@ -104,7 +102,7 @@ def train_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Train all modules on the train split, choose on validation, predict the test split."""
     turns = durable(corpus.utterances(spark, folder))
     models = {name: model for name, (model, _) in train_modules(turns).items()}
-    test = durable(
+    test = (
         evaluation_examples(turns)
         .filter("split = 'test'")
         .select("conv_id", "turn_idx", "context", "current_turn", "label_context", "strategy_true_id")

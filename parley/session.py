@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", name: str = "parley", **conf: str) -> SparkSession:
@@ -60,3 +61,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor cannot change what follows."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def checked_broadcast(stored: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast if a stored table has at most ``rows`` rows; otherwise the planner decides."""
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
