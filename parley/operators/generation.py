@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import full_name, parse_generated, short_name, tidy
-from parley.operators.prompts import ANSWER_HEADING, prompt, resolve_stage
+from parley.operators.prompts import ANSWER_HEADING, prompt, resolve_stage, strategy_scores
 from parley.schema import GENERATORS, RECORD_FIELDS
 
 Generator = Callable[[list[str]], list[str]]
@@ -89,7 +89,9 @@ def with_combinations(requests: DataFrame, generators: list[str]) -> DataFrame:
 
 
 def with_prompts(requests: DataFrame, mode: str = "staged", allow_truth: bool = True) -> DataFrame:
-    return requests.withColumn("stage", resolve_stage(allow_truth)).withColumn("prompt", prompt(mode))
+    """Add ``stage`` and ``prompt``."""
+    ready = requests.withColumns({"stage": resolve_stage(allow_truth), "scores": strategy_scores()})
+    return ready.withColumn("prompt", prompt(mode)).drop("scores")
 
 
 def records(generated: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -76,11 +76,10 @@ def with_position(
     group are never more rows than there are parts and may be broadcast. The finer ones are left
     to the planner.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     ranged = durable(
         df.withColumn("_step", steps)
-        .repartitionByRange(parts, *group, *order)
+        .repartitionByRange(*group, *order)
         .withColumn("_part", F.spark_partition_id())
     )
 

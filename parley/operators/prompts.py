@@ -75,9 +75,9 @@ def templates() -> dict[str, str]:
     return {**staged, "flat": _template("Choose the strategy that suits the talk.", everything, True)}
 
 
-def strategy_scores() -> dict[str, Column]:
-    """The eight strategy scores as text; Others only has its stage score."""
-    return {column: format_probability(F.col(column)) for column in SCORE_NAMES.values()}
+def strategy_scores() -> Column:
+    """The eight strategy scores as an array of texts; Others only has its stage score."""
+    return F.transform(F.array(*[F.col(c).cast("string") for c in SCORE_NAMES.values()]), format_probability)
 
 
 def resolve_stage(allow_truth: bool = True) -> Column:
@@ -117,8 +117,8 @@ def _fill(template: str, slots: dict[str, Column]) -> Column:
 
 
 def prompt(mode: str = "staged", stage: str = "stage") -> Column:
-    """The prompt of a row with ``stage, situation, input_dialog`` and the score columns."""
-    slots = strategy_scores()
+    """The prompt of a row with ``stage, situation, input_dialog`` and ``scores`` as text."""
+    slots = {column: F.get("scores", F.lit(i)) for i, column in enumerate(SCORE_NAMES.values())}
     slots["situation"] = situation_or_default(F.col("situation"))
     slots["input_dialog"] = F.coalesce("input_dialog", F.lit(""))
     texts = templates()

@@ -9,7 +9,7 @@ from parley.functions.text import tidy
 from parley.operators import matching
 from parley.operators.context import transcripts
 from parley.operators.generation import failures, generate_text, records, with_combinations, with_prompts
-from parley.operators.prompts import ANSWER_HEADING, SCORE_NAMES, prompt, resolve_stage, templates
+from parley.operators.prompts import ANSWER_HEADING, SCORE_NAMES, resolve_stage, templates
 from parley.plans import corpus
 from parley.plans.corpus_sql import LABELLED, NAMES, PREDICTIONS, STAGE_OF, UTT, case, normal, predicted, punct, strip, text
 from parley.plans.text_queries import rendered, shown_probability
@@ -84,7 +84,7 @@ def build_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build_flat_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    return _prompt_rows(spark, folder).select(*KEYS, prompt("flat").alias("prompt"))
+    return with_prompts(_prompt_rows(spark, folder), mode="flat").select(*KEYS, "prompt")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,9 @@ from parley.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "parley-tests", **{"spark.sql.shuffle.partitions": "6"})
+    # partitions are kept apart, so that what is carried from part to part is put to the test
+    conf = {"spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    session = local_session("8", "parley-tests", **conf)
     yield session
     session.stop()
 

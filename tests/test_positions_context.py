@@ -12,6 +12,7 @@ def test_position_with_a_hot_group(spark):
     rows = [("hot" if i % 3 else rng.choice("abc"), rng.choice("xy"), i, rng.random() < 0.4) for i in range(900)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, s string, k int, c boolean").repartition(5)
+    assert df.repartitionByRange("g", "k").select(F.spark_partition_id()).distinct().count() > 3
     got = positions.with_position(df, ["g"], ["k"], "n", finer=(["s"], "m")).collect()
     seen, finer = {}, {}
     for r in sorted(got, key=lambda r: r["k"]):
