@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe_tree, pareto_mix, quality_ledger, secret_scan, simhash_grid
+from parley.llm import (
+    bpe_tree,
+    cross_parse,
+    flat_graph,
+    ftrl_quality,
+    nb_toxicity,
+    pareto_mix,
+    quality_ledger,
+    secret_scan,
+    simhash_grid,
+)
 from parley.llm.common import table
 
 
@@ -36,6 +46,14 @@ def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_nb_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return nb_toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return ftrl_quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_ledger.ledger(table(spark, folder, "documents"))
     base = ~quality_ledger.passes("v1")
@@ -60,11 +78,23 @@ def op8_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_tree.encode(table(spark, folder, "documents"), with_ids=False).drop("ids")
 
 
+def op9_cross_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_parse.language(table(spark, folder, "documents"))
+
+
+def op10_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_graph.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_secret_ownership": op2_secret_ownership,
+    "op3_nb_toxicity": op3_nb_toxicity,
+    "op5_ftrl_quality": op5_ftrl_quality,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_simhash_grid": op7_simhash_grid,
     "op8_bpe_tree": op8_bpe_tree,
+    "op9_cross_parse": op9_cross_parse,
+    "op10_flat_graph": op10_flat_graph,
 }
 ORACLES: dict[str, str] = {}
