@@ -15,6 +15,7 @@ from parley.llm import (
     quality_ledger,
     secret_scan,
     simhash_grid,
+    tool_links,
 )
 from parley.llm.common import table
 
@@ -50,6 +51,59 @@ def op3_nb_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return nb_toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+TOOLS = {
+    "lookup": {"limit": ("integer", True), "query": ("string", True), "turn": ("integer", False)},
+    "search": {"after": ("array", False), "query": ("string", True), "turn": ("integer", True)},
+}
+
+
+def dialogue_calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """User turns as calls and assistant turns as their results; identifiers and needs follow the turns.
+
+    The table holds no tools, so tool, needs and some wrong arguments are told from the numbers of
+    conversation and turn: in odd conversations a call needs the next call of the conversation, in
+    even ones the one before. The text is the query.
+    """
+    turns = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("at"), "role", "text"
+    )
+
+    def name(turn):
+        return F.concat_ws("_", F.lit("call"), F.col("conv").cast("string"), turn.cast("string"))
+
+    odd = F.col("conv") % 2 == 1
+    need = F.when(odd, name(F.col("at") + 2)).when(F.col("at") >= 2, name(F.col("at") - 2))
+    tool = F.when((F.col("conv") + F.col("at")) % 3 == 0, "lookup").otherwise("search")
+    arguments = F.to_json(
+        F.struct(
+            F.col("at").alias("turn"),
+            F.col("text").alias("query"),
+            F.when(tool == "search", F.array_compact(F.array(need))).alias("after"),
+            F.when((tool == "lookup") & (F.col("conv") % 5 != 0), F.col("at") + 1).alias("limit"),
+        )
+    )
+    calls = turns.filter("role = 'user'").select(
+        "conv", name(F.col("at")).alias("id"), "at", tool.alias("tool"), arguments.alias("arguments"),
+        F.array_compact(F.array(need)).alias("needs"),
+    )
+    results = turns.filter("role = 'assistant'").select(
+        "conv", name(F.col("at") - 1).alias("id"), "at", F.col("text").alias("content")
+    )
+    return calls, results
+
+
+def op4_tool_links(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tool_links.linked(*dialogue_calls(spark, folder), TOOLS)
+    return rows.select(
+        F.col("conv").alias("conv_id"),
+        F.col("id").alias("call_id"),
+        "place",
+        "state",
+        F.array_join("problems", ",").alias("problems"),
+        "message",
+    )
+
+
 def op5_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ftrl_quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -90,6 +144,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_nb_toxicity": op3_nb_toxicity,
+    "op4_tool_links": op4_tool_links,
     "op5_ftrl_quality": op5_ftrl_quality,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_simhash_grid": op7_simhash_grid,
