@@ -25,7 +25,7 @@ THRESHOLD = 0.98
 #: How far below the threshold the search still walks on.
 SLACK = 0.04
 #: Vectors of its own that a shard is meant to have, and has at most.
-TARGET, MOST = 1000, 1500
+TARGET, MOST = 400, 600
 FANOUT = 64
 OVERLAP = 2
 #: Vectors that the centres of a split are fitted on.
