@@ -45,33 +45,58 @@ def load(definition: str):
 
 
 class Words:
-    """Encodes texts stretch by stretch, remembering distinct ones as (ids, decoded) bytes."""
+    """Encodes texts stretch by stretch, remembering the ids of distinct ones as bytes."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def learn(self, stretches: list[str]) -> None:
-        new = [s for s in dict.fromkeys(stretches) if s not in self.known]
+        self.known: dict[str, bytes] = {}
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spelled = [(tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(size)]
+        added = tokenizer.get_added_tokens_decoder()
+        marks = [(i, t) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.lstrip or t.rstrip)]
+        #: a special token to put between stretches: texts are cut there before anything else
+        self.mark = (marks[-1][0], marks[-1][1].content) if marks else None
+        self.odd = [t.content[:2] for t in added.values()]
+
+    def learn(self, stretches: set[str]) -> None:
+        new = stretches - self.known.keys()
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
-            new = list(dict.fromkeys(stretches))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for stretch, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = found.ids
-                decoded = self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
-                self.known[stretch] = (np.array(ids, dtype="<u4").tobytes(), decoded.encode("utf-8"))
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit numbers, decoded text as UTF-8)."""
-        stretches = [s for s in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if s]
+            new = stretches
+        alone = [s for s in new if self.mark is None or any(o in s for o in self.odd)]
+        for stretch, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[stretch] = np.array(found.ids, dtype="<u4").tobytes()
+        rest = list(new.difference(alone))
+        parts = [rest[at : at + 500] for at in range(0, len(rest), 500)]
+        for group in range(0, len(parts), 16):
+            some = parts[group : group + 16]
+            texts = [self.mark[1].join(part) for part in some]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(found.ids, dtype="<u4")
+                ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+                raw, at = ids.tobytes(), 0
+                for stretch, end in zip(part, ends):
+                    self.known[stretch] = raw[4 * at : 4 * end]
+                    at = end + 1
+
+    def encode(self, stretches: list[str]) -> tuple[bytes, bytes]:
+        """(ids as little-endian 32-bit numbers, decoded text as UTF-8) of stretches that are known."""
         known = self.known
-        if not all(s in known for s in stretches):
-            self.learn(stretches)
-            known = self.known
-        pairs = [known[s] for s in stretches]
-        return b"".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs if p[0]])
+        ids = b"".join([known[s] for s in stretches])
+        return ids, decoded(self.tokenizer, self.spelled, np.frombuffer(ids, dtype="<u4"))
+
+
+def decoded(tokenizer, spelled: list[bytes], ids: np.ndarray) -> bytes:
+    """What ``decode`` gives, special tokens included: without a decoder, the tokens with blanks between."""
+    if tokenizer.decoder is None:
+        return b" ".join([spelled[i] for i in ids.tolist()])
+    return tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode("utf-8")
+
+
+def stretched(text: str) -> list[str]:
+    """A text cut at blanks; empty stretches are kept out."""
+    even = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    return [s for s in even.split(" ") if s]
 
 
 def tokens(tokenizer, text: str, at: int = 0) -> np.ndarray:
@@ -198,8 +223,8 @@ def _short(definition, with_ids: bool):
         words = None
         for part in slices(frames, "t", 2_000_000):
             words = words or Words(load(definition.value))
-            texts = part["t"].fillna("")
-            words.learn([s for t in texts for s in t.replace("\n", " ").split(" ") if s])
+            texts = [stretched(t) for t in part["t"].fillna("")]
+            words.learn(set().union(*texts))
             found = [_result(*words.encode(t), with_ids) for t in texts]
             frame = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             frame.insert(0, "key", part["key"].to_numpy())
