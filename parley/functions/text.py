@@ -11,6 +11,8 @@ from parley.schema import NO_SITUATION, STAGE_ALIASES, lookup
 # white space as Unicode text processing defines it (Java's own \s is ASCII only)
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # white space that is not already one single blank
+# the same characters as a list
+BLANK = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 UNEVEN_SPACE = rf"[\t-\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]{SPACE}*| {SPACE}+"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # speaker marks in tagged text and at line starts
@@ -29,7 +31,7 @@ CONTROL = r"[\x00-\x08\x0b\x0e-\x1f\x7f]"
 
 def strip(value: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(value, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(value, F.lit(BLANK))
 
 
 def present(value: Column) -> Column:
@@ -101,7 +103,7 @@ def render_turns(value: Column) -> Column:
         return F.when(body != "", F.concat(label, body))
 
     def bare(body: Column, place: Column) -> Column:
-        head = rf"(?i)\A{SPACE}*(?:\[(?!{SPACE}*(?:supporter|seeker){SPACE}*\])[^\]]*\]{SPACE}*)*"
+        head = rf"(?i)\A{SPACE}*(?:\[(?!{SPACE}*(?:supporter|seeker){SPACE}*\])[^\]]*\]{SPACE}*)*+"
         rest = strip(F.regexp_replace(body, head, ""))
         # a bracket left open here is closed by the next tag, and swallows the rest of this turn
         return F.when((place < last) & rest.rlike(r"\A\[[^\]]*\z"), "").otherwise(rest)

@@ -86,16 +86,32 @@ def class_table(df: DataFrame, true: str, pred: str, labels: list, by: list[str]
     )
 
 
+LEAST_PROBABILITY = 1e-15
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Join two results of one row per group; a NULL group meets a NULL group."""
+    other = right.withColumnsRenamed({name: f"_by_{i}" for i, name in enumerate(by)})
+    same = F.lit(True)
+    for i, name in enumerate(by):
+        same = same & F.col(name).eqNullSafe(F.col(f"_by_{i}"))
+    return left.join(other, same).drop(*[f"_by_{i}" for i in range(len(by))])
+
+
 def split_scores(df: DataFrame, true: str, probs: str, by: list[str]) -> DataFrame:
     """Macro F1 of the most probable class and mean log loss per group.
 
-    ``probs`` is the array of class probabilities and ``true`` the class's place in it.
+    ``probs`` is the array of class probabilities and ``true`` the class's place in it. Probabilities
+    below ``LEAST_PROBABILITY`` count as that, so that a sure mistake has a finite loss. ``NULL`` is
+    a group like any other.
     """
     scored = df.withColumn("_pred", (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
     loss = scored.groupBy(*by).agg(
-        F.avg(-F.log(F.try_element_at(F.col(probs), (F.col(true) + 1).cast("int")))).alias("loss")
+        F.avg(
+            -F.log(F.greatest(F.try_element_at(F.col(probs), (F.col(true) + 1).cast("int")), F.lit(LEAST_PROBABILITY)))
+        ).alias("loss")
     )
-    return class_f1(scored, true, "_pred", by).join(loss, by).select(*by, "macro_f1", "loss", "rows")
+    return join_groups(class_f1(scored, true, "_pred", by), loss, by).select(*by, "macro_f1", "loss", "rows")
 
 
 def strategy_metrics(scores: DataFrame, total_params: float, turn: int, encoder: str) -> DataFrame:

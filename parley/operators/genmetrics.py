@@ -20,6 +20,7 @@ from parley.functions.alignment import (
 from parley.functions.numeric import round_exact
 from parley.functions.text import present
 from parley.functions.tokens import blank_tokens, labelled_grams, punctuation_tokens, word_tokens
+from parley.operators.classmetrics import join_groups
 from parley.schema import SUMMARY_FIELDS
 
 TOKENIZERS = {"words": word_tokens, "punctuation": punctuation_tokens, "blanks": blank_tokens}
@@ -132,7 +133,13 @@ def evaluate_generation(
     hyp: str = "llm_parsed_response",
     tokenizer: str = "words",
 ) -> DataFrame:
-    """All text metrics per group, times 100 (the mean length is not scaled)."""
+    """All text metrics per group, times 100 (the mean length is not scaled).
+
+    ``NULL`` is a group like any other; without group columns all pairs are one group.
+    """
+    if not by:
+        one = evaluate_generation(pairs.withColumn("_all", F.lit(0)), ["_all"], key, ref, hyp, tokenizer)
+        return one.drop("_all")
     tokens = tokenized(pairs, by, key, ref, hyp, tokenizer)
     rows = row_scores(tokens)
     sums = rows.groupBy(*by).agg(
@@ -143,7 +150,7 @@ def evaluate_generation(
         F.avg("soft").alias("soft_match"),
         *bleu_parts(),
     )
-    return sums.join(distinct_k(tokens, by), by).select(
+    return join_groups(sums, distinct_k(tokens, by), by).select(
         *by,
         "pairs",
         "length",

@@ -101,12 +101,15 @@ def attach_context(
     corpus: DataFrame,
     keys: list[str],
     context: str = "context",
+    group: list[str] | None = None,
 ) -> DataFrame:
     """Add ``input_dialog, context_source, situation`` to the requests.
 
     ``corpus`` holds a transcript and a situation per (conv_id, turn_idx); a request without a
-    match falls back to its own context. The dialogue is rendered one line per turn.
+    match falls back to its own context. The dialogue is rendered one line per turn. ``keys`` name a
+    request within its ``group``, the columns that the matching was grouped by.
     """
+    keys = [*(group or []), *keys]
     said = corpus.select(
         F.col("conv_id").alias("_conv"),
         F.col("turn_idx").cast("long").alias("_turn"),

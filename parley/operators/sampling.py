@@ -13,8 +13,8 @@ PRIME = 1_000_003
 
 
 def seeded_key(seed: int = 42, conv: str = "conv_id", turn: str = "turn") -> Column:
-    """A scattered integer per row that any engine can compute."""
-    return (F.col(conv) * 7919 + F.col(turn) * 104729 + F.lit(seed)) % PRIME
+    """A scattered integer per row that any engine can compute; ids may have any size."""
+    return (F.pmod(F.col(conv), F.lit(PRIME)) * 7919 + F.pmod(F.col(turn), F.lit(PRIME)) * 104729 + F.lit(seed)) % PRIME
 
 
 def class_histogram(examples: DataFrame, by: list[str], label: str = "label") -> DataFrame:
@@ -115,14 +115,7 @@ def slice_rows(df: DataFrame, order: list[str], start: int = 0, end: int = -1) -
 
 
 def cap_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of every group; 0 keeps all.
-
-    Up to 1000, Spark cuts each group to ``n`` rows before the shuffle (window group limit);
-    beyond that the positions are counted in pieces.
-    """
+    """The first ``n`` rows of every group; 0 keeps all. Positions are counted in pieces."""
     if n <= 0:
         return df
-    if n <= 1000:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
     return with_position(df, by, order, "_place").filter(F.col("_place") <= n).drop("_place")

@@ -41,6 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or context.getCheckpointDir()
     if not folder and context.master.startswith("local"):
         folder = os.environ.get("PARLEY_LOCAL_CHECKPOINTS")
         if not folder:
