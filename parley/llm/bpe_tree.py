@@ -13,6 +13,7 @@ stretch is encoded once; common words thus cost a look-up.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,11 @@ def default_vocabulary() -> str:
 
 
 def load(definition: str):
-    """A tokenizer of the tokenizers library from its JSON text, without truncation and padding."""
+    """A tokenizer of the tokenizers library from its JSON text, without truncation and padding.
+
+    A task has one core, so the library is kept from starting threads of its own.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
@@ -86,6 +91,19 @@ class Words:
         return ids, decoded(self.tokenizer, self.spelled, np.frombuffer(ids, dtype="<u4"))
 
 
+class Vocabulary:
+    """A tokenizer definition that travels as text; a worker loads it once and keeps what it learns."""
+
+    def __init__(self, definition: str):
+        self.definition = definition
+        self.loaded = None
+
+    def words(self) -> Words:
+        if self.loaded is None:
+            self.loaded = Words(load(self.definition))
+        return self.loaded
+
+
 def decoded(tokenizer, spelled: list[bytes], ids: np.ndarray) -> bytes:
     """What ``decode`` gives, special tokens included: without a decoder, the tokens with blanks between."""
     if tokenizer.decoder is None:
@@ -210,7 +228,7 @@ def encode(
     """
     spark: SparkSession = docs.sparkSession
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as file:
-        definition = spark.sparkContext.broadcast(file.read())
+        definition = spark.sparkContext.broadcast(Vocabulary(file.read()))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     long = F.coalesce(F.length("t"), F.lit(0)) > piece
@@ -220,9 +238,8 @@ def encode(
 
 def _short(definition, with_ids: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = None
+        words = definition.value.words()
         for part in slices(frames, "t", 2_000_000):
-            words = words or Words(load(definition.value))
             texts = [stretched(t) for t in part["t"].fillna("")]
             words.learn(set().union(*texts))
             found = [_result(*words.encode(t), with_ids) for t in texts]
@@ -251,9 +268,8 @@ def _long(rows: DataFrame, kind: str, definition, piece: int, with_ids: bool) ->
                 )
 
     def leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = None
+        tokenizer = definition.value.words().tokenizer
         for part in slices(frames, "t", 1_000_000):
-            tokenizer = tokenizer or load(definition.value)
             part = part.copy()
             part["tokens"] = [
                 tokens(tokenizer, t, a).astype("<i8").tobytes() for t, a in zip(part["t"], part["start"])
@@ -262,7 +278,7 @@ def _long(rows: DataFrame, kind: str, definition, piece: int, with_ids: bool) ->
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start")
-        tokenizer = load(definition.value)
+        tokenizer = definition.value.words().tokenizer
         texts = list(group["t"])
         ends = np.cumsum([len(t) for t in texts])
         parts = list(zip(group["start"].tolist(), ends.tolist()))
