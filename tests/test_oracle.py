@@ -1,5 +1,7 @@
 """Every registered query that has SQL gives the same rows as the SQL."""
 
+import re
+
 import pytest
 from oracle import connect, difference
 
@@ -16,7 +18,8 @@ def con():
 
 def test_registry():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"train_cascade", "train_language_identifier"}
+    own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own - set(SQL) == {"train_cascade", "train_language_identifier"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
