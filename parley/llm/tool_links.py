@@ -1,10 +1,10 @@
 """Tool calls joined to their results, in an order that respects dependencies, as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, identifier). Calls are ordered so that what
-a call needs comes first: in each round the calls whose needs are all placed get the next level,
-which takes as many rounds as the longest chain. Arguments are checked against the schema of their
-tool, field by field, and messages are written with sorted keys and no blanks. Column functions and
-joins only.
+a call needs comes first, by level. Chains of calls with one need each are climbed by doubling, and
+calls with several needs are placed in rounds, as many as such calls follow each other. Arguments
+are checked against the schema of their tool, field by field, and messages are written with sorted
+keys and no blanks. Column functions and joins only.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import staged
 from parley.operators.positions import with_position
-from parley.session import durable
+from parley.session import durable, scratch_path
 
 #: What ``schema_of_variant`` calls the values that a JSON type allows.
 KINDS = {
@@ -61,36 +61,108 @@ def problems(tool: Column, arguments: Column, schemas: dict[str, dict[str, tuple
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv, id, level) of calls (conv, id): 0 for calls without needs, else above all they need.
+    """(conv, id, level) of calls (conv, id): 0 for calls without needs, else one above all they need.
 
     ``needs`` holds (conv, id, needed); what is not among the calls is no need. Calls in a cycle, or
-    behind one, keep level NULL. Every round is stored, so that a lost executor repeats one round.
+    behind one, keep level NULL. Runs of calls with one need each are climbed by doubling, so a chain
+    takes rounds with the logarithm of its length; what is left are calls with several needs, which
+    are placed round by round. Every round is stored, so that a lost executor repeats one round.
     """
     known = calls.select("conv", "id").distinct()
     asked = needs.join(known, ["conv", "id"], "left_semi").join(
         known.select("conv", F.col("id").alias("needed")), ["conv", "needed"], "left_semi"
     )
-    open_ = durable(asked.distinct())
-    placed = staged(
-        known.join(open_, ["conv", "id"], "left_anti").withColumn("level", F.lit(0)), "tool-levels"
+    asked = durable(asked.distinct())
+    counted = asked.groupBy("conv", "id").agg(F.count("*").alias("n"), F.min("needed").alias("up"))
+    nodes = staged(known.join(counted, ["conv", "id"], "left").fillna(0, ["n"]), "tool-nodes")
+    roots = nodes.filter("n = 0").select("conv", "id", F.lit(0).cast("long").alias("level"))
+    climbed = climb(nodes)
+    found = roots.unionByName(
+        climbed.filter("above <> 2").select(
+            "conv", "id", F.when(F.col("above") == 0, F.col("steps")).alias("level")
+        )
+    )
+    if nodes.filter("n > 1").limit(1).count():
+        branches = nodes.filter("n > 1").select("conv", "id")
+        placed = branched(asked.join(branches, ["conv", "id"], "left_semi"), nodes, climbed)
+        tops = placed.select("conv", F.col("id").alias("up"), F.col("level").alias("_top"))
+        behind = climbed.filter("above = 2").join(tops, ["conv", "up"], "left")
+        found = found.unionByName(branches.join(placed, ["conv", "id"], "left")).unionByName(
+            behind.select("conv", "id", (F.col("_top") + F.col("steps")).alias("level"))
+        )
+    return found
+
+
+def climb(nodes: DataFrame) -> DataFrame:
+    """(conv, id, up, steps, above) of the calls of ``nodes`` (conv, id, n, up) with exactly one need.
+
+    ``up`` is the first call above that has none (``above`` 0) or several needs (``above`` 2),
+    ``steps`` away; calls in a cycle, or behind one, have ``above`` 1. As long as a call that is in
+    no cycle is on its way, some call arrives in the next round: no arrival ends the rounds.
+    """
+    kinds = nodes.select("conv", F.col("id").alias("up"), F.least("n", F.lit(2)).cast("int").alias("above"))
+    single = nodes.filter("n = 1").select("conv", "id", "up", F.lit(1).cast("long").alias("steps"))
+    state = staged(single.join(kinds, ["conv", "up"]).select("conv", "id", "up", "steps", "above"), "tool-climb")
+    before = -1
+    while (open_ := state.filter("above = 1").count()) not in (0, before):
+        before = open_
+        higher = state.select(
+            "conv",
+            F.col("id").alias("up"),
+            F.col("up").alias("_up"),
+            F.col("steps").alias("_steps"),
+            F.col("above").alias("_above"),
+        )
+        moved = state.filter("above = 1").join(higher, ["conv", "up"])
+        moved = moved.select(
+            "conv",
+            "id",
+            F.col("_up").alias("up"),
+            (F.col("steps") + F.col("_steps")).alias("steps"),
+            F.col("_above").alias("above"),
+        )
+        state = staged(state.filter("above <> 1").unionByName(moved), "tool-climb")
+    return state
+
+
+def branched(asked: DataFrame, nodes: DataFrame, climbed: DataFrame) -> DataFrame:
+    """(conv, id, level) of the calls of ``asked`` (conv, id, needed), which have several needs each.
+
+    Needs are followed up to the next call with none or several needs, so that rounds count calls
+    with several needs only. Calls in a cycle, or behind one, are not in the result.
+    """
+    tops = climbed.select("conv", F.col("id").alias("needed"), "up", "steps", "above")
+    first = nodes.select("conv", F.col("id").alias("needed"), "n")
+    edges = asked.join(first, ["conv", "needed"]).join(tops, ["conv", "needed"], "left")
+    root = (F.col("n") == 0) | F.coalesce(F.col("above") == 0, F.lit(False))
+    far = F.coalesce("steps", F.lit(0)) + 1
+    edges = edges.select(
+        "conv",
+        "id",
+        F.coalesce("up", "needed").alias("needed"),
+        far.alias("far"),
+        F.when(root, far).alias("level"),
     )
-    done, level = [placed], 0
+    edges = durable(edges)
+    folder, number = scratch_path(asked.sparkSession, "tool-levels"), 0
+    shape = nodes.select("conv", "id", F.lit(None).cast("long").alias("level")).schema
+    session = asked.sparkSession
     while True:
-        last = done[-1].select("conv", F.col("id").alias("needed"))
-        left = durable(open_.join(last, ["conv", "needed"], "left_anti"))
-        before = open_.select("conv", "id").distinct()
-        level += 1
-        next_ = staged(
-            before.join(left, ["conv", "id"], "left_anti").withColumn("level", F.lit(level)), "tool-levels"
+        ready = edges.groupBy("conv", "id").agg(
+            F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("_open")
         )
-        if not next_.limit(1).count():
+        path = f"{folder}/round={number}"
+        ready.filter("_open = 0").drop("_open").write.parquet(path)
+        last = session.read.schema(shape).parquet(path)
+        if not last.limit(1).count():
             break
-        done.append(next_)
-        open_ = left.join(next_, ["conv", "id"], "left_anti")
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found.unionByName(left.select("conv", "id").distinct().withColumn("level", F.lit(None).cast("int")))
+        gone = last.select("conv", "id")
+        new = last.select("conv", F.col("id").alias("needed"), F.col("level").alias("_new"))
+        left = edges.join(gone, ["conv", "id"], "left_anti").join(new, ["conv", "needed"], "left")
+        met = F.coalesce("level", F.col("_new") + F.col("far"))
+        edges = durable(left.select("conv", "id", "needed", "far", met.alias("level")))
+        number += 1
+    return session.read.schema(shape).parquet(f"{folder}/round=*")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -136,7 +208,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tu
     )
     wrong = F.when(is_call, problems(F.col("tool"), F.col("arguments"), schemas))
     rows = rows.withColumns({"state": state, "problems": wrong, "_call": (~is_call).cast("int")})
-    rows = rows.withColumn("_level", F.coalesce("level", F.lit(2_000_000_000)))
+    rows = rows.withColumn("_level", F.coalesce("level", F.lit(1 << 62)))
     ordered = with_position(rows, ["conv"], ["_call", "_level", "at", "id"], "place")
     return ordered.select("conv", "id", "place", "state", "problems", message().alias("message"))
 

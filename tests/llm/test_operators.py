@@ -191,3 +191,19 @@ def test_tool_links(spark):
     assert rows[1, "x"]["message"] == '{"arguments":{"a":1,"b":"t"},"content":"ok","id":"x","state":"linked","tool":"f"}'
 
 
+def test_levels_of_chains_diamonds_and_cycles(spark):
+    needs = [(1, f"c{i}", f"c{i + 1}") for i in range(70)]  # a chain of 71
+    needs += [(1, "top", "c0"), (1, "top", "c30"), (1, "top", "leaf"), (1, "above", "top"), (1, "high", "above")]
+    needs += [(1, "high", "top"), (1, "roof", "high"), (1, "self", "self"), (1, "a", "b"), (1, "b", "a")]
+    needs += [(1, "behind", "a"), (1, "both", "a"), (1, "both", "leaf"), (1, "late", "both"), (1, "free", "nobody")]
+    needs += [(2, "c0", "c1"), (1, "top", "leaf")]
+    known = {(c, x) for c, a, b in needs for x in (a, b)} - {(1, "nobody")}
+    above = {k: {(c, b) for c, a, b in needs if (c, a) == k and (c, b) in known} for k in known}
+    want = dict.fromkeys(known)
+    for _ in known:
+        for k in known:
+            if want[k] is None and all(want[n] is not None for n in above[k]):
+                want[k] = max((want[n] + 1 for n in above[k]), default=0)
+    calls = spark.createDataFrame(sorted(known), "conv long, id string")
+    found = tool_links.levels(calls, spark.createDataFrame(needs, "conv long, id string, needed string"))
+    assert {(r["conv"], r["id"]): r["level"] for r in found.collect()} == want and found.count() == len(known)
