@@ -43,11 +43,15 @@ def _rounded_units(magnitude: Column, scale: float) -> Column:
 
 
 def round_exact(value: Column, digits: int) -> Column:
-    """Round the binary value of a double to ``digits`` decimals, ties to even."""
+    """Round the binary value of a double to ``digits`` decimals, ties to even.
+
+    From 2**53 units on, neighbouring doubles are farther apart than a unit, so a value is itself
+    the double next to its rounded decimal.
+    """
     scale = float(10**digits)
     magnitude = F.abs(value)
     near = F.signum(value) * _rounded_units(magnitude, scale) / scale
-    return F.when(magnitude < 1e9, near).otherwise(F.round(value, digits))
+    return F.when(magnitude < float(2**53) / scale, near).otherwise(value)
 
 
 # fixed value: how a number may be written (a cast alone would also take Java's "1.0d")
@@ -61,15 +65,27 @@ def parse_float(value: Column) -> Column:
 
 
 def format_probability(value: Column) -> Column:
-    """Three decimals; anything that is not a finite number reads as not evaluated."""
+    """Three decimals; anything that is not a finite number reads as not evaluated.
+
+    Whole part and fraction of a double are exact, and only the fraction is rounded. From 2**63 on,
+    where doubles are whole numbers that no long holds, the digits are those of the shortest spelling.
+    """
+
+    def fraction(magnitude: Column) -> Column:
+        rest = magnitude - F.floor(magnitude).cast("double")
+        return _rounded_units(rest, 1000.0).cast("long")
+
+    def joined(magnitude: Column) -> Column:
+        def text(units: Column) -> Column:
+            whole = F.floor(magnitude).cast("long") + F.when(units == 1000, 1).otherwise(0)
+            return F.concat(whole.cast("string"), F.lit("."), F.lpad((units % 1000).cast("string"), 3, "0"))
+
+        return _once(fraction(magnitude), text)
 
     def shown(number: Column) -> Column:
-        units = _rounded_units(F.abs(number), 1000.0).cast("long")
-        digits = F.lpad(units.cast("string"), F.greatest(F.length(units.cast("string")), F.lit(4)), F.lit("0"))
-        small = _once(digits, lambda d: F.regexp_replace(d, r"(\d{3})$", r".$1"))
         return (
             F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), NO_PROBABILITY)
-            .when(F.abs(number) < 1e9, small)
+            .when(F.abs(number) < float(2**63), _once(F.abs(number), joined))
             .otherwise(F.format_string("%.3f", F.abs(number)))
         )
 

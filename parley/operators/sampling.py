@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.positions import with_position
-from parley.session import checked_broadcast, durable
+from parley.session import stored
 
 COPIES_PER_ROW = 1000
 PRIME = 1_000_003
@@ -54,15 +54,14 @@ def balance(
 
     Smaller classes get whole copies plus the first ``extra`` rows in seeded order; a larger class
     keeps the first ``target`` rows of that order. Only classes with a remainder are ranked, on
-    their keys alone; the largest class never is. The class counts are stored once and joined by
-    broadcast as long as they are few. Where a class is copied very often, its copies are spread
-    over tasks, so one row cannot swell one task. ``keys`` must be unique within a group.
+    their keys alone; the largest class never is. The class counts are stored once; the planner
+    decides how to join them. Copies are made in chunks of ``COPIES_PER_ROW`` that are spread over
+    tasks, so one row cannot swell one task. ``keys`` must be unique within a group.
     """
     order = seeded_key() if order is None else order
-    plan = durable(balance_plan(examples, by, label, second))
-    most = plan.agg(F.max("reps")).first()[0] or 0
+    plan = stored(balance_plan(examples, by, label, second), "balance")
     row_key = list(dict.fromkeys([*by, label, *keys]))
-    unfinished = checked_broadcast(plan.filter("extra > 0")).select(*by, label, "extra")
+    unfinished = plan.filter("extra > 0").select(*by, label, "extra")
     ranked = with_position(
         examples.select(*row_key, order.alias("_order")).join(unfinished, [*by, label]),
         [*by, label],
@@ -71,18 +70,15 @@ def balance(
     )
     chosen = ranked.filter("_rank <= extra").select(*row_key, F.lit(1).alias("_plus"))
     copies = (
-        examples.join(checked_broadcast(plan).select(*by, label, "reps"), [*by, label])
+        examples.join(plan.select(*by, label, "reps"), [*by, label])
         .join(chosen, row_key, "left")
         .withColumn("_copies", F.col("reps") + F.coalesce("_plus", F.lit(0)))
         .filter("_copies > 0")
     )
-    if most < COPIES_PER_ROW:
-        numbers = F.sequence(F.lit(1).cast("long"), F.col("_copies"))
-    else:
-        chunks = F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES_PER_ROW}"))
-        copies = copies.withColumn("_chunk", F.explode(chunks)).repartition(*row_key, "_chunk")
-        first = F.col("_chunk") * COPIES_PER_ROW + 1
-        numbers = F.sequence(first, F.least(F.col("_copies"), first + (COPIES_PER_ROW - 1)))
+    chunks = F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES_PER_ROW}"))
+    copies = copies.withColumn("_chunk", F.explode(chunks)).repartition(*row_key, "_chunk")
+    first = F.col("_chunk") * COPIES_PER_ROW + 1
+    numbers = F.sequence(first, F.least(F.col("_copies"), first + (COPIES_PER_ROW - 1)))
     return copies.withColumn("copy", F.explode(numbers)).select(*examples.columns, "copy")
 
 

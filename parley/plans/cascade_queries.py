@@ -15,19 +15,34 @@ from parley.plans.corpus_sql import LABELLED, NAMES, STAGE_IDS, STAGE_OF, case
 from parley.schema import ENCODERS, MODULES, PREDICTION_FIELDS, STAGES
 from parley.session import durable
 
-# which elements (from 1) of an embedding serve as logits
+# every element of an embedding counts in one of twelve logits, by its place modulo twelve
+PLACES = 12
+# which logits (from 1) belong to a module
 LOGITS = dict(zip([name for name, *_ in MODULES], [(1, 2), (3, 5), (6, 7), (8, 10), (11, 12)]))
 # sizes of the modules in millions of parameters
 SIZES = dict(zip(LOGITS, [66.4, 66.4, 66.4, 66.4, 66.4]))
 
 
+def _logit(place: int) -> Column:
+    """The sum of the elements whose place, from 0, leaves ``place`` modulo twelve."""
+    mine = F.filter("embedding", lambda x, i: i % PLACES == place)
+    return F.aggregate(mine, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+
+def _with_logits(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.embeddings(spark, folder).select(
+        "vec_id",
+        (F.col("label") % 8).alias("strategy_true_id"),
+        F.array(*[_logit(place) for place in range(PLACES)]).alias("logits"),
+    )
+
+
 def _logits(first: int, last: int) -> Column:
-    part = F.slice("embedding", first, last - first + 1)
-    return F.transform(part, lambda x: x.cast("double"))
+    return F.slice("logits", first, last - first + 1)
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    rows = corpus.embeddings(spark, folder).withColumn("strategy_true_id", F.col("label") % 8)
+    rows = _with_logits(spark, folder)
     return cascade.with_probabilities(rows, {m: _logits(*ends) for m, ends in LOGITS.items()})
 
 
@@ -50,9 +65,7 @@ def cascade_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def cascade_by_route(spark: SparkSession, folder: str) -> DataFrame:
     """The same predictions, each module run only on the rows that reach it."""
-    rows = corpus.embeddings(spark, folder).select(
-        "vec_id", F.slice("embedding", 1, 12).alias("embedding"), (F.col("label") % 8).alias("strategy_true_id")
-    )
+    rows = _with_logits(spark, folder)
     score = {
         m: (lambda df, m=m, ends=ends: cascade.with_probabilities(df, {m: _logits(*ends)}))
         for m, ends in LOGITS.items()
@@ -146,14 +159,21 @@ _NAMES = ["id0", "id1", "ex", "co", "ac"]
 
 
 def _softmax(first: int, last: int) -> str:
-    part = f"list_transform(embedding[{first}:{last}], lambda x: CAST(x AS double))"
+    part = f"logits[{first}:{last}]"
     shifted = f"list_transform({part}, lambda x: exp(x - list_max({part})))"
     return f"list_transform({shifted}, lambda x: x / list_sum({shifted}))"
 
 
-_PROBS = "probs AS (SELECT vec_id, label % 8 AS strategy_true_id, " + ", ".join(
+def _sum(place: int) -> str:
+    mine = f"list_filter(embedding, lambda x, i: (i - 1) % {PLACES} = {place})"
+    return f"list_sum(list_transform({mine}, lambda x: CAST(x AS double)))"
+
+
+_SUMS = ", ".join(_sum(place) for place in range(PLACES))
+_PROBS = f"""sums AS (SELECT vec_id, label % 8 AS strategy_true_id, [{_SUMS}] AS logits FROM embeddings),
+probs AS (SELECT vec_id, strategy_true_id, """ + ", ".join(
     f"{_softmax(*ends)} AS {name}" for name, ends in zip(_NAMES, LOGITS.values())
-) + " FROM embeddings)"
+) + " FROM sums)"
 _BEST = ", ".join(f"list_position({n}, list_max({n})) - 1 AS b_{n}" for n in _NAMES)
 _CASCADE = f"""{_PROBS}, bests AS (SELECT *, {_BEST} FROM probs),
 routed AS (SELECT *, CAST(CASE WHEN b_id0 = 0 THEN b_ex WHEN b_id1 = 0 THEN b_co + 2 WHEN b_id1 = 1 THEN b_ac + 5 ELSE 7 END AS int)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.tokens import punctuation_tokens
 from parley.operators.context import evaluation_examples
 from parley.operators.labels import raw_strategy_name, stage_id, stage_of, strategy_name
 from parley.operators.positions import CELL, with_turn_index
@@ -153,9 +152,24 @@ def classifier_name() -> Column:
     return F.concat(F.lit("c"), (F.col("turn") % 2).cast("string"))
 
 
-def reply_key(text: str = "text") -> Column:
-    """The first word or mark of a reply; whole replies never repeat in the given data."""
-    return F.coalesce(F.try_element_at(punctuation_tokens(F.col(text)), F.lit(1)), F.lit(""))
+def requests(rows: DataFrame) -> DataFrame:
+    """Rows of predictions as requests for a context, which name a strategy and a whole reply.
+
+    Whole replies never repeat in the given data, so ids decide what a request asks for: some ask
+    for another strategy, some for a reply that is blank, spaced otherwise or longer than said, and
+    some turns are asked for twice (``attempt`` 0 and 1).
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    said = F.col("label_context")
+    reply = (
+        F.when((conv * 3 + turn) % 7 == 0, "")
+        .when((conv + turn) % 9 == 4, F.concat(F.lit("  "), said, F.lit("\t")))
+        .when((conv + turn) % 11 == 5, F.concat(said, F.lit(" again")))
+        .otherwise(said)
+    )
+    strategy = F.when((conv + turn) % 4 == 1, F.col("strategy_pred")).otherwise(F.col("strategy_true"))
+    attempts = F.when((conv + turn) % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumns({"label_context": reply, "strategy_true": strategy, "attempt": F.explode(attempts)})
 
 
 def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,45 +11,43 @@ from parley.operators.context import transcripts
 from parley.operators.generation import failures, generate_text, records, with_combinations, with_prompts
 from parley.operators.prompts import ANSWER_HEADING, SCORE_NAMES, resolve_stage, templates
 from parley.plans import corpus
-from parley.plans.corpus_sql import LABELLED, NAMES, PREDICTIONS, STAGE_OF, UTT, case, normal, predicted, punct, strip, text
+from parley.plans.corpus_sql import LABELLED, NAMES, PREDICTIONS, STAGE_OF, UTT, case, normal, predicted, strip, text
 from parley.plans.text_queries import rendered, shown_probability
 from parley.schema import GENERATORS, NO_SITUATION, STAGE_ALIASES, STAGES
 
 KEYS = ["conv_id", "turn"]
+REQUEST = [*KEYS, "attempt"]
 COMBINED = ["qwen3-8b", "llama-8b-instruct"]
 
 
-def _train_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.utterances(spark, folder).filter("split = 'train'").withColumn("reply", corpus.reply_key())
-
-
 def lookup_build(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.build_lookup(_train_turns(spark, folder), response="reply").select(
+    return matching.build_lookup(corpus.utterances(spark, folder)).select(
         "conv_id", "turn_idx", "strategy_n", "response_n", "pair_rank", "response_rank", "input_dialog", "situation"
     )
 
 
 def _matches(spark: SparkSession, folder: str, group: list[str] | None = None) -> DataFrame:
-    """Requests carry the predicted strategy, so that both kinds of match and misses occur."""
-    turns = corpus.labelled_turns(spark, folder).withColumn("reply", corpus.reply_key())
-    requests = turns.withColumn("classifier", corpus.classifier_name())
-    lookup = matching.lookup_keys(_train_turns(spark, folder), response="reply")
-    return matching.match_requests(requests, lookup, KEYS, "strategy_pred", "reply", group)
+    """Requests against the supporter turns of all splits, by true strategy and whole reply."""
+    turns = corpus.labelled_turns(spark, folder).withColumnRenamed("text", "label_context")
+    asked = corpus.requests(turns.withColumn("classifier", corpus.classifier_name()))
+    lookup = matching.lookup_keys(corpus.utterances(spark, folder))
+    return matching.match_requests(asked, lookup, REQUEST, group=group)
 
 
 def occurrence_match(spark: SparkSession, folder: str) -> DataFrame:
-    return _matches(spark, folder).select(*KEYS, "corpus_conv", "corpus_turn", "match_kind")
+    return _matches(spark, folder).select(*REQUEST, "corpus_conv", "corpus_turn", "match_kind")
 
 
 def _requests_with_context(spark: SparkSession, folder: str, group: list[str] | None = None) -> DataFrame:
-    said = transcripts(_train_turns(spark, folder)).select("conv_id", "turn_idx", "input_dialog", "situation")
-    matched = _matches(spark, folder, group).drop("classifier")
-    return matching.attach_context(corpus.predictions(spark, folder), matched, said, KEYS)
+    turns = corpus.utterances(spark, folder)
+    said = transcripts(turns).select("conv_id", "turn_idx", "input_dialog", "situation")
+    asked = corpus.requests(corpus.predictions(spark, folder))
+    return matching.attach_context(asked, _matches(spark, folder, group), said, REQUEST, group=group)
 
 
 def occurrence_join(spark: SparkSession, folder: str) -> DataFrame:
     return _requests_with_context(spark, folder).select(
-        *KEYS, "match_kind", "context_source", "situation", "input_dialog"
+        *REQUEST, "match_kind", "context_source", "situation", "input_dialog"
     )
 
 
@@ -91,7 +89,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     requests = with_prompts(_requests_with_context(spark, folder, ["classifier"]))
     # the classifier of a request is part of its row; generators each get a copy
     generated = generate_text(with_combinations(requests, COMBINED))
-    return records(generated, keep=tuple(KEYS))
+    return records(generated, keep=tuple(REQUEST))
 
 
 def generate_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,48 +125,54 @@ QUERIES = {
 
 _LINE = f"CASE WHEN {strip('text')} <> '' THEN CASE speaker WHEN 'sys' THEN 'Supporter : ' ELSE 'Seeker : ' END || {strip('text')} END"
 _EARLIER = "OVER (PARTITION BY conv_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_FIRST = f"coalesce(({punct('text')})[1], '')"
 _SAID = f"""
 told AS (SELECT *, {strip(f"coalesce(string_agg({_LINE}, chr(10)) {_EARLIER}, '')")} AS input_dialog FROM utt),
 said AS (SELECT * FROM told WHERE speaker = 'sys')"""
+_SERVED = "CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, conv_id, turn_idx"
 _LOOKUP = f"""{_SAID},
 lookup AS (
-  SELECT conv_id, turn_idx, {normal('strategy')} AS strategy_n, {normal(_FIRST)} AS response_n, input_dialog,
+  SELECT conv_id, turn_idx, {normal('strategy')} AS strategy_n, {normal('text')} AS response_n, input_dialog,
          {strip("coalesce(situation, '')")} AS situation,
-         row_number() OVER (PARTITION BY {normal('strategy')}, {normal(_FIRST)} ORDER BY conv_id, turn_idx) AS pair_rank,
-         row_number() OVER (PARTITION BY {normal(_FIRST)} ORDER BY conv_id, turn_idx) AS response_rank
-  FROM said WHERE split = 'train')"""
+         row_number() OVER (PARTITION BY {normal('strategy')}, {normal('text')} ORDER BY {_SERVED}) AS pair_rank,
+         row_number() OVER (PARTITION BY {normal('text')} ORDER BY {_SERVED}) AS response_rank
+  FROM said)"""
 
 
 def _matched(source: str, group: str = "") -> str:
     more = f"{group}, " if group else ""
     return f"""
-wanted AS (SELECT conv_id, turn, {more}{normal('strategy_pred')} AS strategy_n, {normal(_FIRST)} AS response_n FROM {source}),
-asked AS (SELECT *, row_number() OVER (PARTITION BY {more}strategy_n, response_n ORDER BY conv_id, turn) AS k FROM wanted),
+wanted AS (SELECT conv_id, turn, attempt, {more}{normal('strategy_true')} AS strategy_n, {normal('label_context')} AS response_n FROM {source}),
+asked AS (SELECT *, row_number() OVER (PARTITION BY {more}strategy_n, response_n ORDER BY conv_id, turn, attempt) AS k FROM wanted),
 first_try AS (
   SELECT a.*, l.conv_id AS pc, l.turn_idx AS pt FROM asked a
   LEFT JOIN lookup l ON a.strategy_n = l.strategy_n AND a.response_n = l.response_n AND k = pair_rank AND a.response_n <> ''),
 missed AS (
-  SELECT *, row_number() OVER (PARTITION BY {more}response_n ORDER BY conv_id, turn) AS j FROM first_try
+  SELECT *, row_number() OVER (PARTITION BY {more}response_n ORDER BY conv_id, turn, attempt) AS j FROM first_try
   WHERE pc IS NULL AND response_n <> ''),
 second_try AS (
-  SELECT m.conv_id, m.turn, l.conv_id AS rc, l.turn_idx AS rt FROM missed m
+  SELECT m.conv_id, m.turn, m.attempt, l.conv_id AS rc, l.turn_idx AS rt FROM missed m
   LEFT JOIN lookup l ON m.response_n = l.response_n AND j = response_rank),
 matched AS (
-  SELECT f.conv_id, f.turn, coalesce(pc, rc) AS corpus_conv, coalesce(pt, rt) AS corpus_turn,
+  SELECT f.conv_id, f.turn, f.attempt, coalesce(pc, rc) AS corpus_conv, coalesce(pt, rt) AS corpus_turn,
          CASE WHEN pc IS NOT NULL THEN 'pair' WHEN rc IS NOT NULL THEN 'response' ELSE 'none' END AS match_kind
-  FROM first_try f LEFT JOIN second_try s ON f.conv_id = s.conv_id AND f.turn = s.turn)"""
+  FROM first_try f LEFT JOIN second_try s ON f.conv_id = s.conv_id AND f.turn = s.turn AND f.attempt = s.attempt)"""
+
+
+_REQUESTS = f"""{PREDICTIONS}, requests AS (
+  SELECT * EXCLUDE (label_context, strategy_true),
+    CASE WHEN (conv_id * 3 + turn) % 7 = 0 THEN '' WHEN (conv_id + turn) % 9 = 4 THEN '  ' || label_context || chr(9)
+         WHEN (conv_id + turn) % 11 = 5 THEN label_context || ' again' ELSE label_context END AS label_context,
+    CASE WHEN (conv_id + turn) % 4 = 1 THEN strategy_pred ELSE strategy_true END AS strategy_true,
+    unnest(CASE WHEN (conv_id + turn) % 6 = 0 THEN [0, 1] ELSE [0] END) AS attempt FROM pred)"""
 
 
-# predictions carry the reply text as label_context; the match wants it as text
-_REQUESTS = PREDICTIONS + ", requests AS (SELECT *, label_context AS text FROM pred)"
 def _joined(group: str = "") -> str:
     return f"""{_REQUESTS}, {_LOOKUP}, {_matched('requests', group)},
 joined AS (
-  SELECT r.* EXCLUDE (text), match_kind, CASE WHEN match_kind = 'none' THEN 'context' ELSE 'corpus' END AS context_source,
+  SELECT r.*, match_kind, CASE WHEN match_kind = 'none' THEN 'context' ELSE 'corpus' END AS context_source,
          CASE WHEN match_kind = 'none' THEN '' ELSE l.situation END AS situation,
          CASE WHEN match_kind = 'none' THEN r.context ELSE l.input_dialog END AS raw_dialog
-  FROM requests r JOIN matched m ON r.conv_id = m.conv_id AND r.turn = m.turn
+  FROM requests r JOIN matched m ON r.conv_id = m.conv_id AND r.turn = m.turn AND r.attempt = m.attempt
   LEFT JOIN lookup l ON l.conv_id = corpus_conv AND l.turn_idx = corpus_turn)"""
 
 
@@ -216,7 +220,7 @@ ORACLES = {
 SELECT conv_id, turn_idx, strategy_n, response_n, pair_rank, response_rank, input_dialog, situation FROM lookup""",
     "occurrence_match": f"WITH {_REQUESTS}, {_LOOKUP}, {_matched('requests')} SELECT * FROM matched",
     "occurrence_join": f"""WITH {_joined()}
-SELECT conv_id, turn, match_kind, context_source, situation, {rendered('raw_dialog')} AS input_dialog FROM joined""",
+SELECT conv_id, turn, attempt, match_kind, context_source, situation, {rendered('raw_dialog')} AS input_dialog FROM joined""",
     "resolve_stage": _CHOICE,
     "build_prompts": f"""WITH {_OWN}, {predicted('given')}, p AS (SELECT *, stage_pred AS stage FROM pred)
 SELECT conv_id, turn, stage, {_STAGED} AS prompt FROM p""",
@@ -226,7 +230,7 @@ ready AS (SELECT *, {rendered('raw_dialog')} AS input_dialog, stage_pred AS stag
 prompted AS (SELECT *, {_STAGED} AS prompt FROM ready),
 answered AS (SELECT *, {_ANSWER} AS raw FROM prompted),
 names(llm_alias, llm_id) AS (VALUES {_ALIAS_ROWS})
-SELECT conv_id, turn, llm_alias, llm_id, classifier, strategy_pred AS prediction, CAST(strategy_pred_id AS varchar) AS prediction_id,
+SELECT conv_id, turn, attempt, llm_alias, llm_id, classifier, strategy_pred AS prediction, CAST(strategy_pred_id AS varchar) AS prediction_id,
   strategy_true AS reference, CAST(strategy_true_id AS varchar) AS reference_id, {strip('label_context')} AS reference_response,
   raw AS llm_raw_output,
   CASE WHEN raw LIKE 'Strategy: %' THEN regexp_extract(raw, '^Strategy: ([^\\n]*)', 1) ELSE 'N/A' END AS llm_predict_strategy,

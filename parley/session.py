@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", name: str = "parley", **conf: str) -> SparkSession:
@@ -64,6 +63,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def checked_broadcast(stored: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast if a stored table has at most ``rows`` rows; otherwise the planner decides."""
-    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write rows as Parquet below the shared folder and read them back: columns can be pruned, and
+    the planner knows the size, so that it broadcasts small tables only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

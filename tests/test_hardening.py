@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from parley.functions.numeric import format_probability, round_exact
 from parley.functions.text import render_turns, strip
 from parley.operators.classmetrics import split_scores
 from parley.operators.genmetrics import evaluate_generation
@@ -54,3 +55,11 @@ def test_prediction_columns_by_name(spark, tmp_path):
     path.write_text("label_context,context,strategy_pred\nl,hello,Question\nl,<START>,Question\n")
     rows = read_predictions(spark, str(path)).collect()
     assert [(r["context"], r["label_context"], r["strategy_pred"], r["prob_ex"]) for r in rows] == [("hello", "l", "Question", None)]
+
+
+def test_rounding_of_large_numbers(spark):
+    values = [1000000000.125, 999999999.125, 1000000000.0625, 999999999.0625, 0.1235, 4503599627370495.5, 1e15 + 0.125]
+    values += [9007199254740.9935, 2.5e18, 0.9999, 0.0005, -1000000000.125, 12.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in rows.select("v", round_exact(F.col("v"), 2).alias("r"), format_probability(F.col("v")).alias("f")).collect():
+        assert r["r"] == round(r["v"], 2) and r["f"] == f"{r['v']:.3f}", r
