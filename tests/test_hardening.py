@@ -11,7 +11,7 @@ from parley.operators.classmetrics import split_scores
 from parley.operators.genmetrics import evaluate_generation
 from parley.operators.matching import attach_context
 from parley.operators.sampling import seeded_key
-from parley.sources.readers import read_predictions
+from parley.sources.readers import flatten_dialogues, parse_dialogues, read_predictions, unreadable
 
 
 def test_long_runs_of_blanks_and_brackets(one):
@@ -57,6 +57,18 @@ def test_prediction_columns_by_name(spark, tmp_path):
     assert [(r["context"], r["label_context"], r["strategy_pred"], r["prob_ex"]) for r in rows] == [("hello", "l", "Question", None)]
 
 
+def test_dialogue_literals(spark):
+    texts = ["my plan: None, really", "caf\xe9\xa0 ​", "it's \\ \"so\"", 'say &quot;hi&quot;', "a\nb \U000e0001 \\x41", "True"]
+    dialogs = [{"situation": None, "dialog": [{"speaker": "usr", "text": t, "strategy": None}]} for t in texts]
+    rows = [(i, ascii(d)) for i, d in enumerate(dialogs)] + [(i + 10, repr(d)) for i, d in enumerate(dialogs)] + [(99, "{no")]
+    parsed = parse_dialogues(spark.createDataFrame(rows, "conv_id long, raw string"), clean=False)
+    got = {r["conv_id"]: r["text"] for r in flatten_dialogues(parsed).collect()}
+    assert got == {i + k: t for i, t in enumerate(texts) for k in (0, 10)}
+    assert [r["conv_id"] for r in unreadable(parsed).collect()] == [99]
+    clean = parse_dialogues(spark.createDataFrame(rows[3:4], "conv_id long, raw string"))
+    assert flatten_dialogues(clean).first()["text"] == 'say "hi"'
+
+
 def test_rounding_of_large_numbers(spark):
     values = [1000000000.125, 999999999.125, 1000000000.0625, 999999999.0625, 0.1235, 4503599627370495.5, 1e15 + 0.125]
     values += [9007199254740.9935, 2.5e18, 0.9999, 0.0005, -1000000000.125, 12.0]
