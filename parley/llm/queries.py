@@ -152,4 +152,27 @@ QUERIES = {
     "op9_cross_parse": op9_cross_parse,
     "op10_flat_graph": op10_flat_graph,
 }
-ORACLES: dict[str, str] = {}
+_BLANK = r"[\x20\x09-\x0D]"
+_BITS = " + ".join(
+    f"CASE WHEN {rule.fails} THEN {1 << place} ELSE 0 END" for place, rule in enumerate(quality_ledger.RULES)
+)
+_LEDGER = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, CAST(sum(least(8, coalesce(after - i, 8))) AS bigint) AS n
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM again) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS bigint) AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - list_unique(l) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
+    len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutter
+  FROM w LEFT JOIN covered USING (r)),
+b AS (SELECT *, CAST({_BITS} AS bigint) AS failed_bits FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS bigint) AS word_chars, CAST(n_symbols AS bigint) AS n_symbols,
+  CAST(n_dup_lines AS bigint) AS n_dup_lines, n_repeat_words, failed_bits & {quality_ledger.mask("v1")} <> 0 AS base_failed,
+  failed_bits & {quality_ledger.mask("v1") | quality_ledger.mask(quality_ledger.CURRENT)} = 0 AS kept, failed_bits FROM b"""
+
+ORACLES: dict[str, str] = {"op6_rule_ledger": _LEDGER}
