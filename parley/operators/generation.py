@@ -62,20 +62,21 @@ def generate_text(
     """Add the generator's answer to every row.
 
     ``generate`` takes a list of prompts and returns as many answers; options such as temperature
-    or length are bound into it by the caller. Partitions run side by side and each hands over
-    ``batch`` prompts at a time, on the row itself, so nothing has to be zipped back together.
+    or length are bound into it by the caller. Only prompts go to Python, ``batch`` at a time and
+    partitions side by side. A NULL prompt is asked as an empty one. Answers may differ from call to
+    call, so the column is marked as such and is never asked for twice for a row.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf(T.StringType())
+    def answer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in prompts:
             answers: list[str] = []
-            texts = frame[prompt_column].fillna("").tolist()
+            texts = part.fillna("").tolist()
             for start in range(0, len(texts), batch):
                 answers += _answers(generate, texts[start : start + batch])
-            yield frame.assign(**{output: answers})
+            yield pd.Series(answers, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(output, answer.asNondeterministic()(F.col(prompt_column)))
 
 
 def with_combinations(requests: DataFrame, generators: list[str]) -> DataFrame:
