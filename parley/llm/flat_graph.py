@@ -9,7 +9,7 @@ through all neighbours in range. What is found is verified in double precision.
 is held against all others, and a graph that finds too little is built again with more overlap.
 
 Equal vectors are one node. A shard tells only sums and a spanning forest of the links, never the
-pairs; each pair is counted in one shard only.
+pairs; each pair is counted in one shard only, the least that both vectors are in.
 """
 
 from __future__ import annotations
@@ -253,6 +253,17 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def lower_shards(lists: pd.Series, shard: int) -> np.ndarray:
+    """Which shards below ``shard`` (columns) each vector is in too: a pair is counted in the least one it shares."""
+    sizes = [len(x) for x in lists]
+    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
+    rows = np.repeat(np.arange(len(lists)), sizes)[flat < shard]
+    below, column = np.unique(flat[flat < shard], return_inverse=True)
+    known = np.zeros((len(lists), len(below)), dtype=bool)
+    known[rows, column] = True
+    return known
+
+
 def linked(nodes: DataFrame, overlap: int, beam: int) -> DataFrame:
     """(node, links, root) from every shard: copies linked there, and a node it is connected with."""
     members = shards(nodes.select("grp", "node", "vec"), overlap)
@@ -270,9 +281,7 @@ def linked(nodes: DataFrame, overlap: int, beam: int) -> DataFrame:
         .groupBy("node")
         .agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     )
-    places = members.groupBy("node").agg(
-        F.collect_list("shard").alias("shards"), F.max(F.when(F.col("home"), F.col("shard"))).alias("own")
-    )
+    places = members.groupBy("node").agg(F.collect_list("shard").alias("shards"))
     whole = members.join(graph, "node").join(places, "node").join(nodes.select("node", "copies"), "node")
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
@@ -293,17 +302,8 @@ def linked(nodes: DataFrame, overlap: int, beam: int) -> DataFrame:
             or [np.empty(0)]
         )
         a, b = a[exact >= THRESHOLD], b[exact >= THRESHOLD]
-        # a pair belongs to the shard of either; of two that could both know it, to the lower one
-        own = group["own"].to_numpy()
-        width = max(map(len, group["shards"]))
-        all_shards = np.array([list(x) + [x[0]] * (width - len(x)) for x in group["shards"]])
-
-        def known_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-            return (all_shards[x] == at[:, None]).any(axis=1)
-
-        here_a, here_b = own[a] == shard, own[b] == shard
-        twice = known_at(a, own[b]) & known_at(b, own[a]) & (own[a] != own[b])
-        counted = np.where(twice, np.minimum(own[a], own[b]) == shard, here_a | here_b)
+        lower = lower_shards(group["shards"], shard)
+        counted = ~(lower[a] & lower[b]).any(axis=1)
         root = names[_roots(len(names), a, b)]
         a, b = a[counted], b[counted]
         copies = group["copies"].to_numpy(dtype=np.int64)

@@ -207,3 +207,25 @@ def test_levels_of_chains_diamonds_and_cycles(spark):
     calls = spark.createDataFrame(sorted(known), "conv long, id string")
     found = tool_links.levels(calls, spark.createDataFrame(needs, "conv long, id string, needed string"))
     assert {(r["conv"], r["id"]): r["level"] for r in found.collect()} == want and found.count() == len(known)
+
+
+def group_in_label(size, total, noise, seed=3):
+    """Unit vectors of 64 components, of which the first ``size`` are near one another, and their links."""
+    chance = np.random.default_rng(seed)
+    base = chance.normal(size=(total, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    base[:size] = base[0] + noise * chance.normal(size=(size, 64))
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(base)]
+    unit = flat_graph.matrix([r[1] for r in rows])
+    return rows, (unit @ unit.T >= 0.98).sum(axis=1) - 1
+
+
+def test_pairs_of_visitors_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "TARGET", 100)
+    monkeypatch.setattr(flat_graph, "MOST", 150)
+    rows, near = group_in_label(375, 750, 0.0125)
+    nodes = spark.createDataFrame(rows, "node long, vec array<float>, grp string").selectExpr("*", "1L copies")
+    found = flat_graph.linked(nodes, 2, 24).groupBy("node").sum("links").collect()
+    links = np.zeros(750, dtype=int)
+    links[[r[0] for r in found]] = [r[1] for r in found]
+    assert (links <= near).all() and links.sum() >= 0.97 * near.sum(), links.sum() / near.sum()
