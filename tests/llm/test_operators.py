@@ -229,3 +229,23 @@ def test_pairs_of_visitors_are_counted(spark, monkeypatch):
     links = np.zeros(750, dtype=int)
     links[[r[0] for r in found]] = [r[1] for r in found]
     assert (links <= near).all() and links.sum() >= 0.97 * near.sum(), links.sum() / near.sum()
+
+
+def test_overlap_is_raised_at_every_split(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "TARGET", 40)
+    monkeypatch.setattr(flat_graph, "MOST", 60)
+    monkeypatch.setattr(flat_graph, "FANOUT", 4)
+    rows, _ = group_in_label(1, 600, 0.0)
+    nodes = spark.createDataFrame(rows, "node long, vec array<float>, grp string")
+    visits = [flat_graph.shards(nodes, overlap).filter("not home").count() for overlap in (1, 3)]
+    assert visits[1] > 2.5 * visits[0]
+
+
+def test_audit_asks_the_largest_components(spark):
+    rows, near = group_in_label(40, 400, 0.0125)
+    nodes = spark.createDataFrame(rows, "node long, vec array<float>, grp string").selectExpr("*", "1L copies")
+    joined = spark.createDataFrame([(i, 0) for i in range(40)], "node long, component long")
+    for share in (1, 2):
+        links = spark.createDataFrame([(i, int(near[i]) // share) for i in range(40)], "node long, links long")
+        told = flat_graph.audit(nodes, links, joined, sample=0)
+        assert abs(told - 1 / share) < 0.02
