@@ -9,7 +9,10 @@ through all neighbours in range. What is found is verified in double precision.
 vectors and of the largest components are held against all others, and a graph that finds too little
 is built again with more overlap at every split.
 
-Equal vectors are one node. A shard tells only sums and a spanning forest of the links, never the
+Where a good share of all pairs is linked, or no split makes a shard smaller, all pairs are compared
+in blocks instead: the work is then in proportion to the links.
+
+Vectors of equal direction are one node. A shard tells only sums and a spanning forest of the links, never the
 pairs; each pair is counted in one shard only, the least that both vectors are in.
 """
 
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import components, staged, unit
+from parley.llm.common import components, let, staged, unit
 
 THRESHOLD = 0.98
 #: How far below the threshold the search still walks on.
@@ -33,6 +36,10 @@ OVERLAP = 2
 FITTED = 2048
 NEAREST, RANDOM, DEGREE, SPREAD = 40, 12, 24, 1.2
 BEAM = 24
+#: Share of linked pairs from which vectors are compared in blocks of about so many rows, not split further.
+DENSE, BLOCK = 0.05, 1500
+#: A split that leaves a child with more than this share is none.
+STUCK = 0.9
 AUDITED, RECALL, TRIES = 256, 0.9, 3
 #: Largest components that are audited too, and vectors of each.
 LARGEST, EACH = 16, 32
@@ -46,6 +53,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def direction(vector: Column) -> Column:
+    """A vector in double precision, divided by its largest component: equal for exact multiples of one vector."""
+    doubles = vector.cast("array<double>")
+    largest = F.array_max(F.transform(doubles, lambda x: F.abs(x)))
+    return F.when(usable(vector), let(largest, lambda top: F.transform(doubles, lambda x: x / top)))
+
+
 def matrix(vectors: pd.Series, dtype=np.float64) -> np.ndarray:
     """Unit vectors as rows; scaled by the largest component first, so that squares neither over- nor underflow."""
     rows = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -68,16 +82,41 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return found
 
 
-def shards(nodes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """(grp, shard, node, vec, home): nodes in their own shard (home) and in overlapping ones.
+def division(vectors: np.ndarray, k: int, dense: float = DENSE) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Centres for a split, the child of each, and whether the vectors are not to be split at all.
+
+    Centres whose vectors are linked with each other in a share of ``dense`` or more of the pairs cut
+    through one group and get one child. Vectors are not split where that holds for all of them, or
+    where nearly all would go to one child.
+    """
+    found = centres(vectors, k)
+    near = np.argmax(vectors @ found.T, axis=1)
+    used, near = np.unique(near, return_inverse=True)
+    found = found[used]
+    links = (vectors @ vectors.T >= THRESHOLD).astype(np.float32)
+    np.fill_diagonal(links, 0)
+    member = np.eye(len(found), dtype=np.float32)[near]
+    rows = member.sum(axis=0)
+    across = (member.T @ links @ member) / np.outer(rows, rows)
+    a, b = np.nonzero(np.triu(across >= dense, 1))
+    child = np.unique(_roots(len(found), a, b), return_inverse=True)[1]
+    n = len(vectors)
+    whole = links.sum() >= dense * n * (n - 1) or np.bincount(child[near]).max() > STUCK * n
+    return found, child, bool(whole)
+
+
+def shards(nodes: DataFrame, overlap: int = OVERLAP, dense: float = DENSE) -> DataFrame:
+    """(grp, shard, node, vec, home, dense): nodes in their own shard (home) and in overlapping ones.
 
     Shards with too many own nodes are split again and again; a split is fitted on a bounded sample
     and applied in salted groups of bounded size, so a label with most of the vectors is no hot key.
+    Shards that are dense, or that no split makes smaller, stay whole whatever their size.
     """
     members = nodes.select("grp", F.lit(0).cast("long").alias("shard"), "node", "vec", F.lit(True).alias("home"))
+    members = members.withColumn("dense", F.lit(False))
     while True:
         members = staged(members, "graph-members")
-        sizes = members.groupBy("grp", "shard").agg(F.count("*").alias("rows"), F.count_if("home").alias("own"))
+        sizes = members.filter("not dense").groupBy("grp", "shard").agg(F.count("*").alias("rows"), F.count_if("home").alias("own"))
         large = staged(sizes.filter(F.col("own") > MOST), "graph-large")
         if not large.limit(1).count():
             return members
@@ -91,25 +130,29 @@ def shards(nodes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
         sample = split.filter(F.col("home") & (unit(F.col("node"), seed=SEED) * F.col("own") < FITTED))
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:
-            found = centres(matrix(group["vec"], np.float32), int(group["k"].iloc[0]))
+            found, child, whole = division(matrix(group["vec"], np.float32), int(group["k"].iloc[0]), dense)
             head = group.iloc[0]
             return pd.DataFrame(
-                [(head["grp"], head["shard"], int(head["salts"]), found.ravel().tolist())],
-                columns=["grp", "shard", "salts", "centres"],
+                [(head["grp"], head["shard"], int(head["salts"]), found.ravel().tolist(), child.tolist(), whole)],
+                columns=["grp", "shard", "salts", "centres", "children", "whole"],
             )
 
         fitted = sample.groupBy("grp", "shard").applyInPandas(
-            fit, "grp string, shard long, salts int, centres array<float>"
+            fit, "grp string, shard long, salts int, centres array<float>, children array<int>, whole boolean"
         )
         salted = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
         def deal(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+            if fitted["whole"].iloc[0]:
+                return rows[["grp", "shard", "node", "vec", "home"]].assign(dense=True, child=0)
             vectors = matrix(rows["vec"], np.float32)
             found = np.array(fitted["centres"].iloc[0], dtype=np.float32).reshape(-1, vectors.shape[1])
-            order = np.argsort(-(vectors @ found.T), axis=1, kind="stable")[:, : overlap + 1]
+            likeness, child = vectors @ found.T, np.asarray(fitted["children"].iloc[0])
+            likeness = np.stack([likeness[:, child == c].max(axis=1) for c in range(child.max() + 1)], axis=1)
+            order = np.argsort(-likeness, axis=1, kind="stable")[:, : overlap + 1]
             parts = []
             for place in range(order.shape[1]):
-                part = rows[["grp", "shard", "node", "vec", "home"]].copy()
+                part = rows[["grp", "shard", "node", "vec", "home"]].assign(dense=False)
                 part["child"] = order[:, place]
                 if place:
                     part = part[part["home"]]
@@ -123,11 +166,11 @@ def shards(nodes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
             .groupBy("grp", "shard", "salt")
             .cogroup(salted.groupBy("grp", "shard", "salt"))
             .applyInPandas(
-                deal, "grp string, shard long, node long, vec array<float>, home boolean, child int"
+                deal, "grp string, shard long, node long, vec array<double>, home boolean, dense boolean, child int"
             )
         )
         moved = dealt.groupBy("grp", "node", F.xxhash64("shard", "child").alias("shard")).agg(
-            F.first("vec").alias("vec"), F.max("home").alias("home")
+            F.first("vec").alias("vec"), F.max("home").alias("home"), F.max("dense").alias("dense")
         )
         still = members.join(large.select("grp", "shard"), ["grp", "shard"], "left_anti")
         members = still.unionByName(moved)
@@ -264,9 +307,52 @@ def lower_shards(lists: pd.Series, shard: int) -> np.ndarray:
     return known
 
 
-def linked(nodes: DataFrame, overlap: int, beam: int) -> DataFrame:
+def crowded(vectors: np.ndarray, dense: float, sample: int = 512) -> bool:
+    """Whether so many pairs of a shard are linked that comparing all is less work than walking a graph."""
+    some = vectors[:: -(-len(vectors) // sample)]
+    n = len(some)
+    return n > 1 and (some @ some.T >= THRESHOLD).sum() - n >= dense * n * (n - 1)
+
+
+def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, links, root) of dense shards: parts by hash, every part compared with every other, exactly."""
+    keys = ["grp", "shard"]
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"one": F.least("part", "_other"), "two": F.greatest("part", "_other")})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node").reset_index(drop=True)
+        names, part = group["node"].to_numpy(), group["part"].to_numpy()
+        one, two = np.flatnonzero(part == group["one"].iloc[0]), np.flatnonzero(part == group["two"].iloc[0])
+        same = group["one"].iloc[0] == group["two"].iloc[0]
+        vectors, copies = matrix(group["vec"]), group["copies"].to_numpy(dtype=np.int64)
+        lower = lower_shards(group["shards"], group["shard"].iloc[0]).astype(np.float32)
+        links, ends = np.zeros(len(names), dtype=np.int64), [np.zeros((2, 0), dtype=np.int64)]
+        for at in range(0, len(one), _ROWS):
+            mine = one[at : at + _ROWS]
+            near = vectors[mine] @ vectors[two].T >= THRESHOLD
+            if same:
+                near &= mine[:, None] < two[None, :]
+            a, b = np.nonzero(near)
+            ends.append(np.stack([mine[a], two[b]]))
+            near &= lower[mine] @ lower[two].T == 0
+            links[mine] += near @ copies[two]
+            links[two] += near.T @ copies[mine]
+        root = names[_roots(len(names), *np.concatenate(ends, axis=1))]
+        return pd.DataFrame({"node": names, "links": links, "root": root})
+
+    return (
+        dealt.select("grp", "shard", "one", "two", "part", "node", "vec", "shards", "copies")
+        .groupBy("grp", "shard", "one", "two")
+        .applyInPandas(compare, "node long, links long, root long")
+    )
+
+
+def linked(nodes: DataFrame, overlap: int, beam: int, dense: float = DENSE) -> DataFrame:
     """(node, links, root) from every shard: copies linked there, and a node it is connected with."""
-    members = shards(nodes.select("grp", "node", "vec"), overlap)
+    members = shards(nodes.select("grp", "node", F.col("vec").cast("array<double>")), overlap, dense)
     keys = ["grp", "shard"]
 
     def lists(group: pd.DataFrame) -> pd.DataFrame:
@@ -275,24 +361,30 @@ def linked(nodes: DataFrame, overlap: int, beam: int) -> DataFrame:
         found = build(matrix(group["vec"], np.float32))
         return pd.DataFrame({"node": names, "next": [names[x].tolist() for x in found]})
 
+    sparse = members.filter("not dense")
     graph = (
-        members.groupBy(*keys)
+        sparse.groupBy(*keys)
         .applyInPandas(lists, "node long, next array<long>")
         .groupBy("node")
         .agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     )
     places = members.groupBy("node").agg(F.collect_list("shard").alias("shards"))
-    whole = members.join(graph, "node").join(places, "node").join(nodes.select("node", "copies"), "node")
+    placed = places.join(nodes.select("node", "copies"), "node")
+    whole = sparse.join(graph, "node").join(placed, "node")
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node").reset_index(drop=True)
         names, shard = group["node"].to_numpy(), group["shard"].iloc[0]
         vectors = matrix(group["vec"])
         rough = vectors.astype(np.float32)
-        place = pd.Series(np.arange(len(names)), index=names)
-        local = [place.reindex(x).dropna().to_numpy(dtype=np.int64) for x in group["next"]]
-        medoid = int(np.argmax(rough @ rough.mean(axis=0)))
-        found = search(rough, local, medoid, THRESHOLD - SLACK, beam)
+        if crowded(rough, dense):
+            reach = THRESHOLD - 1e-4  # float32
+            found = np.concatenate([rough[k : k + _ROWS] @ rough.T >= reach for k in range(0, len(rough), _ROWS)])
+        else:
+            place = pd.Series(np.arange(len(names)), index=names)
+            local = [place.reindex(x).dropna().to_numpy(dtype=np.int64) for x in group["next"]]
+            medoid = int(np.argmax(rough @ rough.mean(axis=0)))
+            found = search(rough, local, medoid, THRESHOLD - SLACK, beam)
         a, b = np.nonzero(np.triu(found | found.T, 1))
         exact = np.concatenate(
             [
@@ -311,7 +403,9 @@ def linked(nodes: DataFrame, overlap: int, beam: int) -> DataFrame:
         links += np.bincount(b, weights=copies[a], minlength=len(names))
         return pd.DataFrame({"node": names, "links": links.astype(np.int64), "root": root})
 
-    return staged(whole.groupBy(*keys).applyInPandas(find, "node long, links long, root long"), "graph-links")
+    walked = whole.groupBy(*keys).applyInPandas(find, "node long, links long, root long")
+    compared = blocks(members.filter("dense").join(placed, "node"))
+    return staged(walked.unionByName(compared), "graph-links")
 
 
 def audit(nodes: DataFrame, links: DataFrame, joined: DataFrame, seed: int = SEED, sample: int = AUDITED) -> float:
@@ -377,7 +471,7 @@ def near_duplicates(
             F.col(label).isNotNull() & usable(F.col(vector)),
             F.concat_ws("|", F.col(label).cast("string"), F.size(vector).cast("string")),
         ).alias("grp"),
-        F.col(vector).cast("array<float>").alias("vec"),
+        direction(F.col(vector)).alias("vec"),
     )
     good = rows.filter("grp is not null")
     nodes = staged(
@@ -387,7 +481,7 @@ def near_duplicates(
         "graph-nodes",
     )
     for attempt in range(TRIES):
-        found = linked(nodes, overlap << attempt, BEAM << attempt)
+        found = linked(nodes, overlap << attempt, BEAM << attempt, DENSE / 8**attempt)
         joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         recall = audit(nodes, found, joined)
         if recall >= RECALL:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import cross_parse, flat_graph, ftrl_quality, nb_toxicity, pareto_mix
 from parley.llm import quality_ledger, secret_scan, simhash_grid, tool_links
@@ -249,3 +250,23 @@ def test_audit_asks_the_largest_components(spark):
         links = spark.createDataFrame([(i, int(near[i]) // share) for i in range(40)], "node long, links long")
         told = flat_graph.audit(nodes, links, joined, sample=0)
         assert abs(told - 1 / share) < 0.02
+
+
+def test_large_group_is_counted_whole(spark):
+    rows, near = group_in_label(1500, 3000, 0.0125)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in flat_graph.near_duplicates(frame).collect()}
+    links = np.array([got[i]["n_links"] for i in range(3000)])
+    assert (links <= near).all() and links.sum() >= 0.99 * near.sum()
+    assert {got[i]["component_id"] for i in range(1500)} == {0}
+
+
+def test_multiples_of_one_vector(spark):
+    rows, _ = group_in_label(1, 2000, 0.0)
+    rows = [(i, (np.array(rows[0][1]) * (1 + i / 7)).tolist() if i < 1000 else v, 1) for i, v, _ in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in flat_graph.near_duplicates(frame).collect()}
+    assert all(got[i] == 999 for i in range(1000)) and all(got[i] == 0 for i in range(1000, 2000))
+    exact = [(i, [float(x * (i + 1)) for x in (3, -5, 7)], 1) for i in range(800)]
+    nodes = spark.createDataFrame(exact, "id long, v array<double>, l int").select(flat_graph.direction(F.col("v")).alias("v"))
+    assert nodes.distinct().count() == 1
