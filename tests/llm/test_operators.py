@@ -270,3 +270,11 @@ def test_multiples_of_one_vector(spark):
     exact = [(i, [float(x * (i + 1)) for x in (3, -5, 7)], 1) for i in range(800)]
     nodes = spark.createDataFrame(exact, "id long, v array<double>, l int").select(flat_graph.direction(F.col("v")).alias("v"))
     assert nodes.distinct().count() == 1
+
+
+def test_vectors_stay_double(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0 + 1e-12]), (2, [1e200, 2e200, 3e200]), (3, [1e-200, 2e-200, 3.1e-200])]
+    nodes = spark.createDataFrame(rows, "id long, v array<double>").select("id", flat_graph.direction(F.col("v")).alias("v"))
+    assert nodes.select("v").distinct().count() == 4 - 1  # 0 and 2 are multiples of each other
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["n_links"] for r in flat_graph.near_duplicates(frame).collect()} == dict.fromkeys(range(4), 3)
