@@ -158,10 +158,11 @@ def samples(
     chars: int = CHARS,
     seed: int = SEED,
 ) -> dict[str, str]:
-    """Up to ``chars`` characters of labelled text for each language, from about ``texts`` texts.
+    """Up to ``chars`` characters of labelled text for each language, of about ``texts`` texts drawn.
 
     Texts are chosen by a hash of the key, as a share that follows from a count of the labels; from
-    each comes a stretch of ``chars / texts`` or more, so what the driver gets is bounded.
+    each comes a stretch of up to four times ``chars / texts``, so what the driver gets is bounded. They
+    are joined until ``chars`` is full: long texts fill it with a quarter of those drawn.
     """
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = known.groupBy(lang).agg(F.count("*").alias("_n"))
