@@ -12,6 +12,7 @@ from parley.llm import (
     ftrl_quality,
     nb_toxicity,
     pareto_mix,
+    periodic_runs,
     quality_ledger,
     secret_scan,
     simhash_grid,
@@ -140,6 +141,26 @@ def op10_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
     return flat_graph.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = periodic_runs.periodic(docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text"))))
+    ranked = F.transform(
+        "runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))
+    )
+    best = F.array_max(ranked)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.l").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.l") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_secret_ownership": op2_secret_ownership,
@@ -151,6 +172,7 @@ QUERIES = {
     "op8_bpe_tree": op8_bpe_tree,
     "op9_cross_parse": op9_cross_parse,
     "op10_flat_graph": op10_flat_graph,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 _BLANK = r"[\x20\x09-\x0D]"
 _BITS = " + ".join(
