@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
+    best_fit,
     bpe_tree,
     cross_parse,
     flat_graph,
@@ -161,6 +162,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    rows = best_fit.packed(best_fit.pieces(table(spark, folder, "documents"), with_ids=False).drop("ids"))
+    return rows.withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_secret_ownership": op2_secret_ownership,
@@ -173,6 +179,7 @@ QUERIES = {
     "op9_cross_parse": op9_cross_parse,
     "op10_flat_graph": op10_flat_graph,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit": op12_best_fit,
 }
 _BLANK = r"[\x20\x09-\x0D]"
 _BITS = " + ".join(
