@@ -14,6 +14,7 @@ from parley.llm import (
     nb_toxicity,
     pareto_mix,
     periodic_runs,
+    prefix_trie,
     quality_ledger,
     secret_scan,
     simhash_grid,
@@ -167,6 +168,11 @@ def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows, convs = prefix_trie.spliced(prefix_trie.numbered(table(spark, folder, "conversations")))
+    return prefix_trie.trie(rows, convs)
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_secret_ownership": op2_secret_ownership,
@@ -180,6 +186,7 @@ QUERIES = {
     "op10_flat_graph": op10_flat_graph,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_best_fit": op12_best_fit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _BLANK = r"[\x20\x09-\x0D]"
 _BITS = " + ".join(
@@ -204,4 +211,28 @@ SELECT doc_id, n_words, CAST(word_chars AS bigint) AS word_chars, CAST(n_symbols
   CAST(n_dup_lines AS bigint) AS n_dup_lines, n_repeat_words, failed_bits & {quality_ledger.mask("v1")} <> 0 AS base_failed,
   failed_bits & {quality_ledger.mask("v1") | quality_ledger.mask(quality_ledger.CURRENT)} = 0 AS kept, failed_bits FROM b"""
 
-ORACLES: dict[str, str] = {"op6_rule_ledger": _LEDGER}
+#: crc32 of a number's digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(conv_id AS varchar), ''),
+  lambda ch: [CAST(ascii(ch) AS bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
+  CAST(4294967295 AS bigint)))"""
+_TRIE = f"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+taken AS (SELECT *, {_CRC} % 6 AS h FROM own),
+rebuilt AS (SELECT t.conv_id AS c, list_concat(coalesce(b.l, [])[1:t.h], t.l[t.h + 1:]) AS l
+  FROM taken t LEFT JOIN own b ON b.conv_id = t.conv_id - t.conv_id % 100),
+p AS (SELECT c, d, len(l) = d AS ends, md5(CAST(to_json(l[1:d]) AS varchar)) AS k, l[d].t AS last,
+    CASE WHEN d > 0 THEN md5(CAST(to_json(l[1:d - 1]) AS varchar)) END AS up
+  FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n, coalesce(length(any_value(last)), 0) AS size,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS varchar) END, ',' ORDER BY c), '')) AS ends FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+joined AS (SELECT nodes.*, coalesce(kids.n, 0) AS kids FROM nodes LEFT JOIN kids USING (d, k)),
+below AS (SELECT p.d, p.k, count_if(u.kids = 0) AS leaves, sum((u.n - 1) * u.size) AS saved
+  FROM joined u JOIN p ON p.c = u.c AND p.d <= u.d GROUP BY p.d, p.k)
+SELECT j.c AS conv_id, j.d AS depth, a.c AS parent_conv_id, j.n AS n_convs, j.kids AS n_children,
+  CAST(leaves AS bigint) AS n_leaves, CAST(saved AS bigint) AS saved_tokens, j.ends AS ends_sha256
+FROM joined j JOIN below USING (d, k) LEFT JOIN joined a ON a.d = j.d - 1 AND a.k = j.up"""
+
+ORACLES: dict[str, str] = {"op6_rule_ledger": _LEDGER, "op13_prefix_trie": _TRIE}
