@@ -4,29 +4,38 @@ A text longer than ``piece`` characters is halved until no part is longer. The p
 different tasks and concatenated up the tree. Where two parts meet, a window around the join is
 encoded anew; it grows until a run of its tokens agrees with the left part and a run agrees with the
 right part, in id and place, and then the window's tokens in between replace what both parts had
-there. A window that covers both parts is the plain encoding, so the result is always exact.
+there. A window that covers both parts is the plain encoding.
 
-Within a part, texts are cut at blanks, where this kind of tokenizer always cuts, and each distinct
-stretch is encoded once; common words thus cost a look-up.
+Agreement is proof for two reasons. Texts and windows are cut only where no normalisation reaches across
+(before a starter that composes with nothing before it) and never within a special token, so that
+every stretch is normalised as it is in the whole text. And a row of tokens is the encoding of its word part
+exactly if each two neighbours are the encoding of what they spell together: every two neighbours of the
+result are neighbours in one of the three encodings.
+
+Within a part, each distinct word part is encoded once (``word_memory``); common words cost a look-up.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from parley.llm.common import slices, staged
+from parley.llm.common import staged
+from parley.llm.periodic_runs import sliced
+from parley.llm.word_memory import WordMemory, shared_memory
 
 PIECE = 1 << 15
 WINDOW = 64
 AGREE = 3
-KNOWN = 200_000
 
 
 def default_vocabulary() -> str:
@@ -35,101 +44,59 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def load(definition: str):
-    """A tokenizer of the tokenizers library from its JSON text, without truncation and padding.
+@cache
+def _seconds() -> frozenset[str]:
+    """Characters that compose with one before them: seconds of canonical pairs, and Korean vowels and finals."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    found = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(found.union(map(chr, range(0x1161, 0x1176)), map(chr, range(0x11A8, 0x11C3))))
 
-    A task has one core, so the library is kept from starting threads of its own.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
-class Words:
-    """Encodes texts stretch by stretch, remembering the ids of distinct ones as bytes."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.known: dict[str, bytes] = {}
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        self.spelled = [(tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(size)]
-        added = tokenizer.get_added_tokens_decoder()
-        marks = [(i, t) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.lstrip or t.rstrip)]
-        #: a special token to put between stretches: texts are cut there before anything else
-        self.mark = (marks[-1][0], marks[-1][1].content) if marks else None
-        self.odd = [t.content[:2] for t in added.values()]
-
-    def learn(self, stretches: set[str]) -> None:
-        new = stretches - self.known.keys()
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = stretches
-        alone = [s for s in new if self.mark is None or any(o in s for o in self.odd)]
-        for stretch, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[stretch] = np.array(found.ids, dtype="<u4").tobytes()
-        rest = list(new.difference(alone))
-        parts = [rest[at : at + 500] for at in range(0, len(rest), 500)]
-        for group in range(0, len(parts), 16):
-            some = parts[group : group + 16]
-            texts = [self.mark[1].join(part) for part in some]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(found.ids, dtype="<u4")
-                ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-                raw, at = ids.tobytes(), 0
-                for stretch, end in zip(part, ends):
-                    self.known[stretch] = raw[4 * at : 4 * end]
-                    at = end + 1
-
-    def encode(self, stretches: list[str]) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit numbers, decoded text as UTF-8) of stretches that are known."""
-        known = self.known
-        ids = b"".join([known[s] for s in stretches])
-        return ids, decoded(self.tokenizer, self.spelled, np.frombuffer(ids, dtype="<u4"))
-
-
-class Vocabulary:
-    """A tokenizer definition that travels as text; a worker loads it once and keeps what it learns."""
-
-    def __init__(self, definition: str):
-        self.definition = definition
-        self.loaded = None
-
-    def words(self) -> Words:
-        if self.loaded is None:
-            self.loaded = Words(load(self.definition))
-        return self.loaded
-
-
-def decoded(tokenizer, spelled: list[bytes], ids: np.ndarray) -> bytes:
-    """What ``decode`` gives, special tokens included: without a decoder, the tokens with blanks between."""
-    if tokenizer.decoder is None:
-        return b" ".join([spelled[i] for i in ids.tolist()])
-    return tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode("utf-8")
-
-
-def stretched(text: str) -> list[str]:
-    """A text cut at blanks; empty stretches are kept out."""
-    even = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return [s for s in even.split(" ") if s]
+
+class Cuts:
+    """Where a text may be cut without changing how either side is normalised."""
+
+    def __init__(self, text: str, marks: list[str]):
+        self.text = text
+        found = re.finditer("|".join(map(re.escape, marks)), text) if marks else ()
+        self.inside = {p for m in found for p in range(m.start() + 1, m.end())}
+
+    def fits(self, at: int) -> bool:
+        if at in (0, len(self.text)):
+            return True
+        c = self.text[at]
+        plain = c < "̀" or (
+            not unicodedata.combining(c) and c not in _seconds() and unicodedata.category(c) != "Cn"
+        )
+        return plain and at not in self.inside
+
+    def before(self, at: int, least: int) -> int:
+        while at > least and not self.fits(at):
+            at -= 1
+        return max(at, least)
+
+    def after(self, at: int, most: int) -> int:
+        while at < most and not self.fits(at):
+            at += 1
+        return min(at, most)
 
 
 def tokens(tokenizer, text: str, at: int = 0) -> np.ndarray:
-    """Rows (id, start, end) of a text that begins at character ``at`` of its document."""
+    """Rows (id, start, end, number among the tokens of that place) of a text that begins at ``at``."""
     found = tokenizer.encode(text, add_special_tokens=False)
-    rows = np.empty((len(found.ids), 3), dtype=np.int64)
+    rows = np.zeros((len(found.ids), 4), dtype=np.int64)
     if len(rows):
         rows[:, 0] = found.ids
-        rows[:, 1:] = np.array(found.offsets, dtype=np.int64) + at
+        rows[:, 1:3] = np.array(found.offsets, dtype=np.int64) + at
+        fresh = np.ones(len(rows), dtype=bool)
+        fresh[1:] = (rows[1:, 1:3] != rows[:-1, 1:3]).any(axis=1)
+        order = np.arange(len(rows))
+        rows[:, 3] = order - np.maximum.accumulate(np.where(fresh, order, 0))
     return rows
 
 
 def _runs(a: np.ndarray, b: np.ndarray, agree: int) -> list[tuple[int, int]]:
     """(i, j) where ``agree`` rows of ``a`` from i equal those of ``b`` from j; places identify rows."""
-    places: dict[tuple[int, int, int], int] = {tuple(row): j for j, row in enumerate(b.tolist())}
+    places = {tuple(row): j for j, row in enumerate(b.tolist())}
     pairs = [(i, places[tuple(row)]) for i, row in enumerate(a.tolist()) if tuple(row) in places]
     return [
         pairs[k]
@@ -138,9 +105,47 @@ def _runs(a: np.ndarray, b: np.ndarray, agree: int) -> list[tuple[int, int]]:
     ]
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning of two arrays of ids."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _end_rows(tokenizer, cuts: Cuts, start: int, middle: int, low: int, ids: np.ndarray) -> np.ndarray:
+    """Rows of the last of ``ids``, which encode ``text[start:middle]``, as far as ``low`` and beyond.
+
+    A shorter end of the text is encoded; ids that agree with the last of ``ids`` spell the same end.
+    """
+    reach = 2 * (middle - low)
+    while True:
+        at = cuts.before(max(start, middle - reach), start)
+        rows = tokens(tokenizer, cuts.text[at:middle], at)
+        if at == start:
+            return rows
+        same = _common(rows[::-1, 0], ids[::-1])
+        if same and rows[len(rows) - same, 1] <= low:
+            return rows[len(rows) - same :]
+        reach *= 2
+
+
+def _first_rows(tokenizer, cuts: Cuts, middle: int, end: int, high: int, ids: np.ndarray) -> np.ndarray:
+    """Rows of the first of ``ids``, which encode ``text[middle:end]``, as far as ``high`` and beyond."""
+    reach = 2 * (high - middle)
+    while True:
+        at = cuts.after(min(end, middle + reach), end)
+        rows = tokens(tokenizer, cuts.text[middle:at], middle)
+        if at == end:
+            return rows
+        same = _common(rows[:, 0], ids)
+        if same and rows[same - 1, 2] >= high:
+            return rows[:same]
+        reach *= 2
+
+
 def join(
     tokenizer,
-    text: str,
+    cuts: Cuts,
     start: int,
     middle: int,
     end: int,
@@ -149,66 +154,83 @@ def join(
     window: int = WINDOW,
     agree: int = AGREE,
 ) -> np.ndarray:
-    """Tokens of ``text[start:end]`` from those of its two parts, which meet at ``middle``."""
+    """Ids of ``text[start:end]`` from those of its two parts, which meet at ``middle``."""
     reach = window
     while True:
-        low, high = max(start, middle - reach), min(end, middle + reach)
-        around = tokens(tokenizer, text[low:high], low)
+        low = cuts.before(max(start, middle - reach), start)
+        high = cuts.after(min(end, middle + reach), end)
+        around = tokens(tokenizer, cuts.text[low:high], low)
         if low == start and high == end:
-            return around
+            return around[:, 0].astype(np.uint32)
         head, tail = (0, 0), (len(right), len(around))
         found = True
         if low > start:
-            near = int(np.searchsorted(left[:, 1], low))
-            runs = _runs(left[near:], around, agree)
+            rows = _end_rows(tokenizer, cuts, start, middle, low, left)
+            near = int(np.searchsorted(rows[:, 1], low))
+            runs = _runs(rows[near:], around, agree)
             # the middle of the first run: what is before it is the left part's, what follows the window's
             found = bool(runs)
             if found:
-                head = (runs[0][0] + near + 1, runs[0][1] + 1)
+                head = (len(left) - len(rows) + near + runs[0][0] + 1, runs[0][1] + 1)
         if found and high < end:
-            far = int(np.searchsorted(right[:, 1], high))
-            runs = [r for r in _runs(right[:far], around, agree) if r[1] >= head[1]]
+            rows = _first_rows(tokenizer, cuts, middle, end, high, right)
+            far = int(np.searchsorted(rows[:, 1], high))
+            runs = [r for r in _runs(rows[:far], around, agree) if r[1] >= head[1]]
             found = bool(runs)
             if found:
                 tail = (runs[-1][0] + agree - 1, runs[-1][1] + agree - 1)
         if found:
-            return np.concatenate([left[: head[0]], around[head[1] : tail[1]], right[tail[0] :]])
+            return np.concatenate([left[: head[0]], around[head[1] : tail[1], 0].astype(np.uint32), right[tail[0] :]])
         reach *= 2
 
 
-def bounds(length: int, piece: int) -> list[tuple[int, int]]:
-    """The leaves of the tree over a text: halves of halves, none longer than ``piece``."""
-    parts = [(0, length)]
-    while max(b - a for a, b in parts) > max(piece, 1):
-        parts = [half for a, b in parts for half in ((a, (a + b) // 2), ((a + b) // 2, b)) if half[0] < half[1]]
-    return parts
+def bounds(cuts: Cuts, piece: int) -> list[tuple[int, int]]:
+    """The leaves of the tree over a text: halves of halves, none longer than ``piece`` that can be cut."""
+
+    def halves(a: int, b: int) -> list[tuple[int, int]]:
+        if b - a <= max(piece, 1):
+            return [(a, b)]
+        middle = cuts.after((a + b) // 2, b)
+        if middle == b:
+            middle = cuts.before((a + b) // 2, a)
+        return [(a, b)] if middle == a else [*halves(a, middle), *halves(middle, b)]
+
+    return halves(0, len(cuts.text))
 
 
-def merge(tokenizer, text: str, parts: list[tuple[int, int]], rows: list[np.ndarray], **options) -> np.ndarray:
+def merge(tokenizer, cuts: Cuts, parts: list[tuple[int, int]], ids: list[np.ndarray], **options) -> np.ndarray:
     """Concatenate neighbours level by level until one part is left."""
     while len(parts) > 1:
         above, merged = [], []
         for k in range(0, len(parts) - 1, 2):
             (start, middle), (_, end) = parts[k], parts[k + 1]
             above.append((start, end))
-            merged.append(join(tokenizer, text, start, middle, end, rows[k], rows[k + 1], **options))
+            merged.append(join(tokenizer, cuts, start, middle, end, ids[k], ids[k + 1], **options))
         if len(parts) % 2:
             above.append(parts[-1])
-            merged.append(rows[-1])
-        parts, rows = above, merged
-    return rows[0]
-
-
-RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
-
-
-def _result(ids: bytes, decoded: bytes, with_ids: bool) -> tuple:
-    return (
-        len(ids) // 4,
-        hashlib.sha256(ids).hexdigest(),
-        hashlib.sha256(decoded).hexdigest(),
-        ids if with_ids else None,
-    )
+            merged.append(ids[-1])
+        parts, ids = above, merged
+    return ids[0]
+
+
+FOUND = [
+    StructField("n_tokens", LongType()),
+    StructField("ids_sha256", StringType()),
+    StructField("decoded_sha256", StringType()),
+    StructField("ids", BinaryType()),
+]
+
+
+def results(memory: WordMemory, keys: pa.Array, found: list[bytes], with_ids: bool) -> pa.RecordBatch:
+    """Rows of keys and ids with digests of the ids and of what they decode to."""
+    decoded = [hashlib.sha256(memory.decoded(ids)).hexdigest() for ids in found]
+    columns = [
+        pa.array([len(ids) // 4 for ids in found], pa.int64()),
+        pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string()),
+        pa.array(decoded, pa.string()),
+        pa.array(found if with_ids else [None] * len(found), pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays([keys, *columns], ["key", *[field.name for field in FOUND]])
 
 
 def encode(
@@ -222,76 +244,77 @@ def encode(
     """(key, n_tokens, ids_sha256, decoded_sha256, ids) for every row of ``docs``.
 
     ``vocabulary`` is the path of a tokenizer definition that the driver can read; its text travels
-    to the tasks. ``ids`` are little-endian 32-bit numbers, NULL unless ``with_ids``. Empty and NULL
-    texts have no tokens. Rows with equal keys stay apart; an empty table gives no rows; other
-    columns are not looked at. Special tokens spelled in a text are found as the library finds them.
+    to the tasks. One that does not cut words as ``word_memory`` does raises an error. ``ids`` are little-endian
+    32-bit numbers, NULL unless ``with_ids``. Empty and NULL texts have no tokens. Rows with equal keys stay
+    apart, keys are not looked at and may be NULL; an empty table gives no rows; other columns are not
+    looked at. Special tokens spelled in a text are found as the library finds them.
     """
     spark: SparkSession = docs.sparkSession
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as file:
-        definition = spark.sparkContext.broadcast(Vocabulary(file.read()))
-    kind = docs.schema[key].dataType.simpleString()
+        definition = spark.sparkContext.broadcast({"definition": file.read()})
+    kind = StructField("key", docs.schema[key].dataType)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     long = F.coalesce(F.length("t"), F.lit(0)) > piece
-    whole = rows.filter(~long).mapInPandas(_short(definition, with_ids), f"key {kind}, {RESULT}")
+    whole = rows.filter(~long).mapInArrow(_short(definition, with_ids), StructType([kind, *FOUND]))
     return whole.unionByName(_long(rows.filter(long), kind, definition, piece, with_ids)).withColumnRenamed("key", key)
 
 
 def _short(definition, with_ids: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = definition.value.words()
-        for part in slices(frames, "t", 2_000_000):
-            texts = [stretched(t) for t in part["t"].fillna("")]
-            words.learn(set().union(*texts))
-            found = [_result(*words.encode(t), with_ids) for t in texts]
-            frame = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            frame.insert(0, "key", part["key"].to_numpy())
-            yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = shared_memory(definition.value)
+        for batch in batches:
+            at = 0
+            for part in sliced(batch.column(1).cast(pa.binary()).to_pylist(), 4 << 20):
+                yield results(memory, batch.column(0).slice(at, len(part)), memory.ids(part), with_ids)
+                at += len(part)
 
     return run
 
 
-def _long(rows: DataFrame, kind: str, definition, piece: int, with_ids: bool) -> DataFrame:
+def _long(rows: DataFrame, kind: StructField, definition, piece: int, with_ids: bool) -> DataFrame:
     """Leaves as rows, encoded wherever they lie; then one group for each document concatenates them."""
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, text, row in zip(frame["key"], frame["t"], frame["row"]):
-                leaves = bounds(len(text), piece)
-                yield pd.DataFrame(
-                    {
-                        "key": [key] * len(leaves),
-                        "row": row,
-                        "start": [a for a, _ in leaves],
-                        "t": [text[a:b] for a, b in leaves],
-                    }
+    names = ["key", "row", "start", "t"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared_memory(definition.value).specials
+        for batch in batches:
+            for place, text in enumerate(batch.column(1).to_pylist()):
+                leaves = bounds(Cuts(text, marks), piece)
+                same = pa.array([place] * len(leaves), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(same),
+                        batch.column(2).take(same),
+                        pa.array([a for a, _ in leaves], pa.int64()),
+                        pa.array([text[a:b] for a, b in leaves], pa.string()),
+                    ],
+                    names,
                 )
 
-    def leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = definition.value.words().tokenizer
-        for part in slices(frames, "t", 1_000_000):
-            part = part.copy()
-            part["tokens"] = [
-                tokens(tokenizer, t, a).astype("<i8").tobytes() for t, a in zip(part["t"], part["start"])
-            ]
-            yield part
-
-    def tree(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("start")
-        tokenizer = definition.value.words().tokenizer
-        texts = list(group["t"])
-        ends = np.cumsum([len(t) for t in texts])
-        parts = list(zip(group["start"].tolist(), ends.tolist()))
-        encoded = [np.frombuffer(b, dtype="<i8").reshape(-1, 3) for b in group["tokens"]]
-        ids = merge(tokenizer, "".join(texts), parts, encoded)[:, 0]
-        decoded = tokenizer.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
-        found = _result(ids.astype("<u4").tobytes(), decoded.encode("utf-8"), with_ids)
-        names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-        return pd.DataFrame([(group["key"].iloc[0], *found)], columns=names)
-
-    shape = f"key {kind}, row long, start long, t string"
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = shared_memory(definition.value)
+        for batch in batches:
+            at = 0
+            for part in sliced(batch.column(3).cast(pa.binary()).to_pylist(), 4 << 20):
+                ids = pa.array(memory.ids(part), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns, ids], [*names, "ids"])
+                at += len(part)
+
+    def tree(group: pa.Table) -> pa.Table:
+        group = group.sort_by("start")
+        memory = shared_memory(definition.value)
+        texts = group.column("t").to_pylist()
+        ends = np.cumsum([len(t) for t in texts]).tolist()
+        parts = list(zip(group.column("start").to_pylist(), ends))
+        encoded = [np.frombuffer(b, dtype="<u4") for b in group.column("ids").to_pylist()]
+        ids = merge(memory.tokenizer, Cuts("".join(texts), memory.specials), parts, encoded)
+        one = group.column("key").combine_chunks().slice(0, 1)
+        return pa.Table.from_batches([results(memory, one, [ids.astype("<u4").tobytes()], with_ids)])
+
+    shape = StructType([kind, *[StructField(n, k) for n, k in zip(names[1:], (LongType(), LongType(), StringType()))]])
     # stored: the number of a row must not change if a task is run again
-    leaves = staged(numbered.mapInPandas(cut, shape), "bpe-leaves")
+    leaves = staged(numbered.mapInArrow(cut, shape), "bpe-leaves")
     dealt = leaves.repartition(F.col("row"), F.col("start"))
-    encoded = dealt.mapInPandas(leaf, f"{shape}, tokens binary")
-    return encoded.groupBy("row").applyInPandas(tree, f"key {kind}, {RESULT}")
+    encoded = dealt.mapInArrow(leaf, StructType([*shape.fields, StructField("ids", BinaryType())]))
+    return encoded.groupBy("row").applyInArrow(tree, StructType([kind, *FOUND]))

@@ -55,8 +55,11 @@ class WordMemory:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.final = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        spelled = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.final = np.array([token.endswith("</w>") for token in spelled])
+        self.spelled = [token.encode("utf-8") for token in spelled]
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = sorted({content[:2] for content in self.specials})
         self.parts: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
         self.held = 0
@@ -77,6 +80,13 @@ class WordMemory:
                 found.append(b"".join([known[p] for p in parts]))
         return found
 
+    def decoded(self, ids: bytes) -> bytes:
+        """What the library's ``decode`` gives, special tokens included: without a decoder, tokens with blanks between."""
+        numbers = np.frombuffer(ids, dtype="<u4").tolist()
+        if self.tokenizer.decoder is None:
+            return b" ".join([self.spelled[i] for i in numbers])
+        return self.tokenizer.decode(numbers, skip_special_tokens=False).encode("utf-8")
+
     def _plain(self, text: str) -> bool:
         return not any(mark in text for mark in self.marks) and _KNOWN.fullmatch(text) is not None
 
