@@ -21,7 +21,6 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +43,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@cache
-def _seconds() -> frozenset[str]:
+def seconds() -> frozenset[str]:
     """Characters that compose with one before them: seconds of canonical pairs, and Korean vowels and finals."""
     pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
     found = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
@@ -55,8 +53,9 @@ def _seconds() -> frozenset[str]:
 class Cuts:
     """Where a text may be cut without changing how either side is normalised."""
 
-    def __init__(self, text: str, marks: list[str]):
+    def __init__(self, text: str, marks: list[str], seconds: frozenset[str]):
         self.text = text
+        self.seconds = seconds
         found = re.finditer("|".join(map(re.escape, marks)), text) if marks else ()
         self.inside = {p for m in found for p in range(m.start() + 1, m.end())}
 
@@ -65,7 +64,7 @@ class Cuts:
             return True
         c = self.text[at]
         plain = c < "̀" or (
-            not unicodedata.combining(c) and c not in _seconds() and unicodedata.category(c) != "Cn"
+            not unicodedata.combining(c) and c not in self.seconds and unicodedata.category(c) != "Cn"
         )
         return plain and at not in self.inside
 
@@ -251,7 +250,7 @@ def encode(
     """
     spark: SparkSession = docs.sparkSession
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as file:
-        definition = spark.sparkContext.broadcast({"definition": file.read()})
+        definition = spark.sparkContext.broadcast({"definition": file.read(), "seconds": seconds()})
     kind = StructField("key", docs.schema[key].dataType)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     long = F.coalesce(F.length("t"), F.lit(0)) > piece
@@ -280,7 +279,7 @@ def _long(rows: DataFrame, kind: StructField, definition, piece: int, with_ids:
         marks = shared_memory(definition.value).specials
         for batch in batches:
             for place, text in enumerate(batch.column(1).to_pylist()):
-                leaves = bounds(Cuts(text, marks), piece)
+                leaves = bounds(Cuts(text, marks, definition.value["seconds"]), piece)
                 same = pa.array([place] * len(leaves), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -308,7 +307,8 @@ def _long(rows: DataFrame, kind: StructField, definition, piece: int, with_ids:
         ends = np.cumsum([len(t) for t in texts]).tolist()
         parts = list(zip(group.column("start").to_pylist(), ends))
         encoded = [np.frombuffer(b, dtype="<u4") for b in group.column("ids").to_pylist()]
-        ids = merge(memory.tokenizer, Cuts("".join(texts), memory.specials), parts, encoded)
+        cuts = Cuts("".join(texts), memory.specials, definition.value["seconds"])
+        ids = merge(memory.tokenizer, cuts, parts, encoded)
         one = group.column("key").combine_chunks().slice(0, 1)
         return pa.Table.from_batches([results(memory, one, [ids.astype("<u4").tobytes()], with_ids)])
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from parley.session import durable, scratch_path
 
@@ -89,12 +91,32 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def slices(frames: Iterable[pd.DataFrame], column: str, budget: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Cut frames so that the texts of a slice have about ``budget`` characters, or it is one row."""
-    for frame in frames:
-        sizes = frame[column].str.len().fillna(0).to_numpy(dtype=np.int64)
-        part = (np.cumsum(sizes) - sizes) // budget
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for start, end in zip([0, *cuts], [*cuts, len(frame)]):
-            if end > start:
-                yield frame.iloc[start:end]
+def beside(
+    rows: DataFrame,
+    text: str,
+    fields: list[StructField],
+    found: Callable[[list[str | None]], list[pa.Array]],
+    budget: int = 4_000_000,
+) -> DataFrame:
+    """``rows`` with what ``found`` tells from the column ``text``, which goes.
+
+    All other columns pass in their Arrow form and are never looked at, so that keys stay exactly what they
+    are, NULL or large. ``found`` gets the texts of a slice of about ``budget`` bytes, or one text.
+    """
+    place = rows.columns.index(text)
+    kept = [field for field in rows.schema.fields if field.name != text]
+    names = [field.name for field in [*kept, *fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.coalesce(pc.binary_length(batch.column(place).cast(pa.large_binary())), 0).to_numpy()
+            part = (np.cumsum(sizes) - sizes) // budget
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start:
+                    some = batch.slice(start, end - start)
+                    told = found(some.column(place).to_pylist())
+                    keep = [column for at, column in enumerate(some.columns) if at != place]
+                    yield pa.RecordBatch.from_arrays([*keep, *told], names)
+
+    return rows.mapInArrow(run, StructType([*kept, *fields]))

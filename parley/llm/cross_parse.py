@@ -12,11 +12,12 @@ advance together: one step looks up the next state of thousands of readers.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from parley.llm.common import remainder, slices, unit
+from parley.llm.common import beside, remainder, unit
 
 #: Bounds on what is learned from, for each language: texts, and characters of them altogether.
 TEXTS = 64
@@ -32,9 +33,9 @@ def normalised(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a text over a numbered alphabet, as a table of next states."""
+    """Suffix automaton of a text over numbered letters: ``ways`` has the next states of each state."""
 
-    def __init__(self, codes: list[int], size: int):
+    def __init__(self, codes: list[int]):
         links, lengths, ways = [-1], [0], [{}]
         last = 0
         for code in codes:
@@ -60,90 +61,149 @@ class Automaton:
                         at = links[at]
                     links[to] = links[new] = twin
             last = new
-        # no way on: the phrase ends and the character begins the next one, told by a complement
-        first = [~ways[0].get(c, 0) for c in range(size)]
-        self.table = np.tile(np.array(first, dtype=np.int32), (len(ways), 1))
-        for state, out in enumerate(ways):
-            for code, to in out.items():
-                self.table[state, code] = to
-
-
-class Model:
-    """Automata of several languages with a common alphabet; states of all lie in one table."""
-
-    def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
-        letters = sorted(set("".join(samples.values())) | {" "})
-        self.codes = np.zeros(0x110000, dtype=np.uint8 if len(letters) < 255 else np.uint16)
-        self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)  # 0: in no sample
-        self.codes[[i for i in range(0x110000) if not chr(i).isalpha()]] = self.codes[32]
-        self.size = len(letters) + 1
-        tables, self.roots, base = [], [], 0
-        for language in self.languages:
-            codes = self.codes[[ord(c) for c in samples[language]]].tolist()
-            table = Automaton(codes, self.size).table
-            tables.append(np.where(table < 0, ~(~table + base), table + base).astype(np.int32))
-            self.roots.append(base)
-            base += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, dtype=np.int32)
+        self.ways = ways
+
+
+class _Slots:
+    """The ways of many states in one array: state ``s`` on letter ``c`` is slot ``offset[s] + c``, if that is its own.
+
+    States lie over each other like combs, so there are about as many slots as ways, at most three for each
+    learned letter, however large the alphabet is.
+    """
+
+    def __init__(self):
+        self.owner = np.full(1 << 12, -1, dtype=np.int32)
+        self.target = np.zeros(1 << 12, dtype=np.int32)
+        self.offset: list[int] = []
+        self.low = 0
+
+    def _room(self, size: int) -> None:
+        while len(self.owner) < size:
+            self.owner = np.concatenate([self.owner, np.full(len(self.owner), -1, dtype=np.int32)])
+            self.target = np.concatenate([self.target, np.zeros(len(self.target), dtype=np.int32)])
+
+    def add(self, ways: list[dict[int, int]], step: int = 4096) -> None:
+        base = len(self.offset)
+        self.offset += [0] * len(ways)
+        # combs with many teeth first; those with one fill the gaps
+        for state in sorted(range(len(ways)), key=lambda s: -len(ways[s])):
+            letters = sorted(ways[state])
+            if not letters:
+                continue
+            while self.low < len(self.owner) and self.owner[self.low] >= 0:
+                self.low += 1
+            shift = max(self.low, letters[0]) - letters[0]
+            while True:
+                self._room(shift + letters[-1] + step)
+                fits = np.logical_and.reduce([self.owner[shift + c : shift + c + step] < 0 for c in letters])
+                if fits.any():
+                    shift += int(fits.argmax())
+                    break
+                shift += step
+            self.offset[base + state] = shift
+            at = shift + np.array(letters)
+            self.owner[at] = base + state
+            self.target[at] = base + np.array([ways[state][c] for c in letters])
+
+
+def learned(samples: dict[str, str]) -> dict:
+    """Automata of several languages as plain arrays, which is how they travel to the tasks.
+
+    Languages have letters in common, but their states only take room for the ways they have.
+    """
+    languages = sorted(samples)
+    letters = sorted(set("".join(samples.values())) | {" "})
+    codes = np.zeros(0x110000, dtype=np.uint16 if len(letters) < 65535 else np.uint32)
+    codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)  # 0: in no sample
+    codes[[i for i in range(0x110000) if not chr(i).isalpha()]] = codes[32]
+    slots, roots = _Slots(), []
+    starts = np.zeros((len(languages), len(letters) + 1), dtype=np.int32)
+    for number, language in enumerate(languages):
+        ways = Automaton(codes[[ord(c) for c in samples[language]]].tolist()).ways
+        base = len(slots.offset)
+        slots.add(ways)
+        roots.append(base)
+        starts[number] = base
+        for code, to in ways[0].items():
+            starts[number, code] = base + to
+    # the last slot that can be asked for, whose owner may be nobody
+    most = max(slots.offset, default=0) + len(letters) + 1
+    slots._room(most)
+    return {
+        "languages": languages,
+        "codes": codes,
+        "offset": np.array(slots.offset, dtype=np.int32),
+        "owner": slots.owner[:most],
+        "target": slots.target[:most],
+        "roots": roots,
+        "starts": starts,
         # a phrase names a place in a sample, which takes more bits the larger the sample is
-        self.weights = np.array([np.log2(len(samples[x]) + 2) for x in self.languages])
+        "weights": np.array([np.log2(len(samples[x]) + 2) for x in languages]),
+    }
 
 
-def read(model: Model, text: str) -> np.ndarray:
+def read(model: dict, text: str) -> np.ndarray:
     """Letter codes of the lower-cased text, with single blanks for everything else."""
-    codes = model.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    blank = codes == model.codes[32]
+    codes = model["codes"][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    blank = codes == model["codes"][32]
     return codes[~(blank & np.concatenate([[True], blank[:-1]]))] if len(codes) else codes
 
 
-def phrases(model: Model, texts: list[str]) -> np.ndarray:
-    """Number of phrases of every text (rows) in every language (columns), texts read whole."""
-    counts = np.zeros((len(texts), len(model.languages)), dtype=np.int64)
+def phrases(model: dict, texts: list[str]) -> np.ndarray:
+    """Number of phrases of every text (rows) in every language (columns), texts read whole.
+
+    A letter that a language has nowhere begins a phrase, which goes on with what follows the letter; at
+    the start of a block it ends an empty one.
+    """
+    counts = np.zeros((len(texts), len(model["languages"])), dtype=np.int64)
     blocks, owners = [], []
     for i, text in enumerate(texts):
         codes = read(model, text)
         for at in range(0, len(codes), BLOCK):
             blocks.append(codes[at : at + BLOCK])
             owners.append(i)
-    if not blocks or not model.languages:
+    if not blocks or not model["languages"]:
         return counts
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     lengths = np.array([len(blocks[k]) for k in order])
-    owner = np.array(owners)[order]
+    whose = np.array(owners)[order]
     grid = np.zeros((lengths[0], len(blocks)), dtype=np.int32)
     for column, k in enumerate(order):
         grid[: lengths[column], column] = blocks[k]
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    for number, root in enumerate(model.roots):
+    offset, owner, target = model["offset"], model["owner"], model["target"]
+    for number, root in enumerate(model["roots"]):
+        start = model["starts"][number]
         state = np.full(len(blocks), root, dtype=np.int32)
         ended = np.ones(len(blocks), dtype=np.int64)
         for step in range(lengths[0]):
             n = active[step]
-            to = model.table[state[:n] * np.int64(model.size) + grid[step, :n]]
-            stop = to < 0
-            ended[:n] += stop
-            state[:n] = np.where(stop, ~to, to)
-        np.add.at(counts[:, number], owner, ended)
+            letter, here = grid[step, :n], state[:n]
+            slot = offset[here] + letter
+            on = owner[slot] == here
+            # no way on: the phrase ends and the character begins the next one
+            ended[:n] += ~on
+            state[:n] = np.where(on, target[slot], start[letter])
+        np.add.at(counts[:, number], whose, ended)
     return counts
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of every text; ``und`` and 0 without a letter or without a language.
 
     The score sets the runner-up's phrases in relation to both: a half is a tie, which the least
     name wins, and 1 would be a text that only one language can read.
     """
     present = ["" if t is None else t for t in texts]
-    costs = phrases(model, present) * model.weights
+    costs = phrases(model, present) * model["weights"]
     names, scores = [], np.zeros(len(texts))
     for i, text in enumerate(present):
-        if not model.languages or not any(c.isalpha() for c in text):
+        if not model["languages"] or not any(c.isalpha() for c in text):
             names.append("und")
             continue
         best = int(np.argmin(costs[i]))
         rest = np.delete(costs[i], best)
-        names.append(model.languages[best])
+        names.append(model["languages"][best])
         scores[i] = rest.min() / (rest.min() + costs[i][best]) if len(rest) else 1.0
     return names, scores
 
@@ -165,15 +225,18 @@ def samples(
     are joined until ``chars`` is full: long texts fill it with a quarter of those drawn.
     """
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    totals = known.groupBy(lang).agg(F.count("*").alias("_n"))
+    # one number for each language; the scan then drops nearly all rows before anything moves
+    totals = {row[0]: row[1] for row in known.groupBy(lang).count().collect()}
+    if not totals:
+        return {}
+    shares = F.create_map(*[F.lit(x) for name, n in sorted(totals.items()) for x in (name, texts / n)])
     pick = unit(F.col(key), seed=seed)
     part = max(1, chars // texts * 4)
     room = F.greatest(F.length(text) - part, F.lit(0))
     start = 1 + F.floor(unit(F.col(key), seed=seed + 1) * room).cast("int")
     chosen = (
-        known.select(F.col(lang).alias("l"), F.substring(F.col(text), start, F.lit(part)).alias("t"), pick.alias("u"))
-        .join(totals.withColumnRenamed(lang, "l"), "l")
-        .filter(F.col("u") * F.col("_n") < texts)
+        known.filter(pick < F.element_at(shares, F.col(lang)))
+        .select(F.col(lang).alias("l"), F.substring(F.col(text), start, F.lit(part)).alias("t"), pick.alias("u"))
     )
     gathered: dict[str, list[tuple[float, str]]] = {}
     for row in chosen.select("l", "u", "t").collect():
@@ -190,18 +253,13 @@ def language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     name. Other columns than key, text and language are not looked at.
     """
     learn = remainder(F.col(key), BY) != HELD
-    model = docs.sparkSession.sparkContext.broadcast(Model(samples(docs, learn, key, text, lang)))
-    kind = docs.schema[key].dataType.simpleString()
+    model = docs.sparkSession.sparkContext.broadcast(learned(samples(docs, learn, key, text, lang)))
 
-    def run(frames):
-        for part in slices(frames, "t", 2_000_000):
-            texts = [t if isinstance(t, str) else None for t in part["t"]]
-            names, scores = predict(model.value, texts)
-            yield pd.DataFrame(
-                {"key": part["key"], "held_out": part["held_out"], "lang_pred": names, "score": scores}
-            )
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        names, scores = predict(model.value, texts)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
     held_out = F.coalesce(remainder(F.col(key), BY) == HELD, F.lit(False))
     rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).alias("t"))
-    shape = f"key {kind}, held_out boolean, lang_pred string, score double"
-    return rows.mapInPandas(run, shape).withColumnRenamed("key", key)
+    told = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return beside(rows, "t", told, run, 2_000_000).withColumnRenamed("key", key)

@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from parley.llm.common import remainder, slices, unit
+from parley.llm.common import beside, remainder, unit
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = 0x100000001B3
@@ -128,13 +130,13 @@ def labelled_sample(
     Keys with several labels take the highest. The share to take comes from a count of the labels,
     so the sample is bounded however large the tables are.
     """
-    known = labels.filter(learn & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
+    known = labels.filter(learn & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("label"))
+    known = known.groupBy("k").agg(F.max("label").cast("int").alias("label"))
     total = known.count()
     share = min(1.0, rows / total) if total else 0.0
-    chosen = known.filter(unit(F.col(key), seed=seed) < share).withColumnRenamed(key, "_key")
     # at most about ``rows`` pairs of numbers, whatever the size of the tables
-    joined = docs.join(F.broadcast(chosen), docs[key] == F.col("_key"))
-    return joined.select(F.col(text).alias("t"), F.col("_label").cast("int").alias("label"))
+    chosen = F.broadcast(known.filter(unit(F.col("k"), seed=seed) < share))
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").select("t", "label")
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], bytes]) -> bytes:
@@ -163,16 +165,12 @@ def scored(
     text: str = "text",
 ) -> DataFrame:
     """(key, held_out, score, predicted) for every row, the model being a broadcast variable."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(frames):
-        for part in slices(frames, "t"):
-            found = score(model.value, part["t"].fillna("").tolist())
-            yield pd.DataFrame({"key": part["key"], "held_out": part["held_out"], "score": found})
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(score(model.value, [t or "" for t in texts]), pa.float64())]
 
     held_out = F.coalesce(remainder(F.col(key), by) == held, F.lit(False))
     rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).alias("t"))
-    done = rows.mapInPandas(run, f"key {kind}, held_out boolean, score double")
+    done = beside(rows, "t", [StructField("score", DoubleType())], run)
     return done.select(
         F.col("key").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

@@ -212,10 +212,10 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Keys are expected to be unique within a source; rows that share both get the largest of their
     numbers of copies. A NULL key or source is a value like any other.
     """
-    copies = mix(docs, key, text, source, **options).groupBy("key", "source").agg(F.max("copies").alias("_copies"))
-    copies = copies.filter("_copies > 0").withColumnsRenamed({"key": "_key", "source": "_source"})
-    taken = docs.join(
-        copies, docs[key].eqNullSafe(F.col("_key")) & docs[source].eqNullSafe(F.col("_source"))
-    )
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mix(docs, key, text, source, **options).groupBy("key", "source").agg(F.max("copies").alias("copies"))
+    copies = copies.filter("copies > 0")
+    # a row goes along as one value, so that its columns may have any name
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(source).alias("s"))
+    taken = rows.join(copies, same_as("k", "key") & same_as("s", "source"))
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -12,11 +12,12 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from parley.llm.common import slices, staged
+from parley.llm.common import beside, staged
 
 # fixed values: the base kinds and their patterns
 ASSIGN = re.compile(
@@ -44,7 +45,16 @@ SHARED_OWNERS = 3
 #: Bits per character below which a value is taken for a placeholder.
 LEAST_ENTROPY = 2.0
 
-FOUND = "array<struct<kind:string,start:long,end:long,digest:string,entropy:double>>"
+FOUND = StructType(
+    [
+        StructField("kind", StringType()),
+        StructField("start", LongType()),
+        StructField("end", LongType()),
+        StructField("digest", StringType()),
+        StructField("entropy", DoubleType()),
+    ]
+)
+_ARROW = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
 
 
 def find(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -85,28 +95,24 @@ def scan(
 
     By default a document is a repository of its own and its ``source`` is the owner.
     """
-    kind = docs.schema[key].dataType.simpleString()
     repository = F.col(key) if repository is None else repository
     owner = F.col("source") if owner is None else owner
 
-    def run(frames):
-        for part in slices(frames, "t"):
-            found = [
-                [
-                    {
-                        "kind": k,
-                        "start": a,
-                        "end": b,
-                        "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(),
-                        "entropy": entropy(v),
-                    }
-                    for k, a, b, v in find(t)
-                ]
-                for t in part["t"]
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        found = [
+            [
+                {
+                    "kind": k,
+                    "start": a,
+                    "end": b,
+                    "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(),
+                    "entropy": entropy(v),
+                }
+                for k, a, b, v in find(t)
             ]
-            yield pd.DataFrame(
-                {"key": part["key"], "repository": part["repository"], "owner": part["owner"], "found": found}
-            )
+            for t in texts
+        ]
+        return [pa.array(found, pa.list_(pa.struct(list(zip(FOUND.fieldNames(), _ARROW)))))]
 
     rows = docs.select(
         F.col(key).alias("key"),
@@ -114,9 +120,9 @@ def scan(
         owner.cast("string").alias("owner"),
         F.col(text).alias("t"),
     )
-    shape = f"key {kind}, repository string, owner string, found {FOUND}"
+    told = beside(rows, "t", [StructField("found", ArrayType(FOUND))], run)
     # the number of a row is fixed when the rows are stored
-    return staged(rows.mapInPandas(run, shape).withColumn("row", F.monotonically_increasing_id()), "secret-scan")
+    return staged(told.withColumn("row", F.monotonically_increasing_id()), "secret-scan")
 
 
 def ownership(
@@ -179,22 +185,23 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
         .select("key", "f.digest")
         .join(examples, "digest", "left_anti")
         .groupBy("key")
-        .agg(F.collect_set("digest").alias("_hide"))
-        .withColumnRenamed("key", "_key")
+        .agg(F.collect_set("digest").alias("hide"))
     )
-    names = docs.columns
-
-    def rewrite(frames):
-        for part in slices(frames, text):
-            part = part.copy()
-            part[text] = [
-                t if h is None or t is None else hide(t, set(h)) for t, h in zip(part[text], part["_hide"])
-            ]
-            yield part[names]
 
-    suspect = F.coalesce(F.col(text).rlike(SUSPECT), F.lit(False))
-    marked = docs.filter(suspect).join(hidden, docs[key].eqNullSafe(hidden["_key"]), "left").drop("_key")
-    return docs.filter(~suspect).unionByName(marked.mapInPandas(rewrite, docs.schema))
+    def rewrite(texts: list[str | None]) -> list[pa.Array]:
+        """Texts with what is to be hidden in front, each digest on a line of its own."""
+        split = [t.split("\n\n", 1) for t in texts]
+        return [pa.array([hide(t, set(first.split("\n"))) for first, t in split], pa.string())]
+
+    # a row goes along as one value, so that its columns may have any name
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    suspect = F.coalesce(F.col("t").rlike(SUSPECT), F.lit(False))
+    met = rows.filter(suspect).join(hidden, F.col("k").eqNullSafe(F.col("key")), "left")
+    first = F.coalesce(F.array_join("hide", "\n"), F.lit(""))
+    met = met.select("row", F.concat(first, F.lit("\n\n"), "t").alias("t"))
+    done = beside(met, "t", [StructField("t", StringType())], rewrite)
+    every = rows.filter(~suspect).select("row", "t").unionByName(done)
+    return every.select(*[(F.col("t") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def hide(text: str, digests: set[str], mark: str = "[SECRET]") -> str:

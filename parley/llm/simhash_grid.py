@@ -19,12 +19,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from parley.llm.common import components, slices, staged
+from parley.llm.common import beside, components, staged
 
 SHINGLE = 4
 SEED = 42
@@ -61,15 +62,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp) of every row; ``fp`` is the fingerprint as a signed long."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(frames):
-        for part in slices(frames, "t"):
-            fps = [fingerprint(t) for t in part["t"]]
-            yield pd.DataFrame({"key": part["key"], "fp": np.array(fps, dtype=np.int64)})
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([fingerprint(t) for t in texts], pa.int64())]
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"key {kind}, fp long")
+    return beside(rows, "t", [StructField("fp", LongType())], run)
 
 
 def counts(fp: Column, first: int) -> Column:
@@ -170,10 +167,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", de
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest key.
 
-    Keys are expected to be unique; of rows that repeat key and text one stays. Rows with a NULL key
-    cannot be named and stay as they are. Columns stay as they are.
+    Keys are expected to be unique; rows that repeat a key stay together if one of them is to stay, once for
+    each text. Rows with a NULL key cannot be named and stay as they are. Columns
+    stay as they are, whatever their names. Texts are shuffled only where a key is repeated; else
+    the keys that go are sent to where the rows are.
     """
-    groups = near_duplicates(docs, key, text, **options)
-    first = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(first, key, "left_semi").withColumn("_text", F.xxhash64(text)).dropDuplicates([key, "_text"])
-    return named.drop("_text").unionByName(docs.filter(F.col(key).isNull()))
+    groups = staged(near_duplicates(docs, key, text, **options).select(F.col(key).alias("k"), "component_id"), "simhash-groups")
+    each = groups.filter("k IS NOT NULL").groupBy("k")
+    each = each.agg(F.count("*").alias("n"), F.bool_or(F.col("k") == F.col("component_id")).alias("stays"))
+    gone, again = each.filter("NOT stays").select("k"), each.filter("stays AND n > 1").select("k")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    kept = rows.join(gone, "k", "left_anti")
+    if again.limit(1).count():
+        once = kept.join(again, "k", "left_semi").withColumn("digest", F.sha2("t", 256)).dropDuplicates(["k", "digest"])
+        kept = kept.join(again, "k", "left_anti").unionByName(once.drop("digest"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

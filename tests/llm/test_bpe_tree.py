@@ -8,6 +8,7 @@ import pytest
 from parley.llm import bpe_tree
 from parley.llm.word_memory import WordMemory
 
+SECONDS = bpe_tree.seconds()
 EDGES = ["", " ", "\n\t ", None, "a", "<|endoftext|>", "x<|startoftext|>y <|endo", "it's 'S don't''re", "é Ẹ́", "\x1c\x85 a b", "ΑΣ ὈΔΥΣΣΕΎΣ", "😀👍🏽", "12345 1", "a" * 500, "!?" * 300]
 
 
@@ -24,7 +25,7 @@ def plain(tokenizer, text):
 
 
 def tree(memory, text, piece, **options):
-    cuts = bpe_tree.Cuts(text, memory.specials)
+    cuts = bpe_tree.Cuts(text, memory.specials, SECONDS)
     parts = bpe_tree.bounds(cuts, piece)
     assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and (parts[0][0], parts[-1][1]) == (0, len(text))
     ids = [np.frombuffer(x, dtype="<u4") for x in memory.ids([text[a:b].encode() for a, b in parts])]

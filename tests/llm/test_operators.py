@@ -127,14 +127,40 @@ def test_classifiers_tell_marked_texts(spark, docs):
 def test_automaton_knows_exactly_the_substrings():
     text = "abcabxabcd"
     codes = [ord(c) - 96 for c in text]
-    table = cross_parse.Automaton(codes, 27).table
+    ways = cross_parse.Automaton(codes).ways
     for probe in ("abcab", "xabc", "bd", "abcd", "ca", "cc", "dabc"):
-        state, known = 0, True
+        state = 0
         for c in probe:
-            to = table[state, ord(c) - 96]
-            known &= to >= 0
-            state = to if to >= 0 else ~to
-        assert known == (probe in text)
+            state = ways[state].get(ord(c) - 96) if state is not None else None
+        assert (state is not None) == (probe in text)
+
+
+def test_phrases_against_plain_search():
+    chance = np.random.default_rng(2)
+    samples = {"x": "the cat sat on the mat", "y": "ein hund und eine katze", "z": "天地玄黄宇宙洪荒日月盈昃"}
+    texts = ["the hund sat", "", "xq the cat, eine 天地 katze! 日月", "qqqq", " ".join(chance.choice(list("thecaund "), 400))]
+    model = cross_parse.learned(samples)
+    for text, counts in zip(texts, cross_parse.phrases(model, texts).tolist()):
+        even = "".join(c if c.isalpha() else " " for c in text.lower())
+        while "  " in even:
+            even = even.replace("  ", " ")
+        for name, count in zip(model["languages"], counts):
+            n, at = int(even[:1] not in samples[name]), 0
+            while at < len(even):
+                end = at + 1
+                first = at if even[at] in samples[name] else end
+                while end < len(even) and samples[name].find(even[first : end + 1]) >= 0:
+                    end += 1
+                n, at = n + 1, end
+            assert count == n, (text, name)
+
+
+def test_automata_of_large_alphabets_stay_small():
+    chance = np.random.default_rng(5)
+    samples = {f"s{i}": " ".join("".join(chance.choice(list("abcdefghij"), 5)) for _ in range(4000)) for i in range(3)}
+    samples["large"] = "".join(map(chr, chance.integers(0x4E00, 0x4E00 + 2400, 24_000)))
+    model = cross_parse.learned(samples)
+    assert sum(x.nbytes for x in model.values() if isinstance(x, np.ndarray)) < 10_000_000
 
 
 def test_language(spark, docs):
