@@ -41,27 +41,56 @@ def labelled_line() -> Column:
     return F.when(text != "", F.concat(who, F.lit(" : "), text))
 
 
-def with_recent(utterances: DataFrame, turns: int = 5, include_labels: bool = True) -> DataFrame:
-    """Add ``recent``: the tagged utterances of up to ``turns`` turns before each row, in order.
+def with_earlier(utterances: DataFrame, value: Column, name: str, most: int | None, cell: int) -> DataFrame:
+    """Add the array of ``value`` over the ``most`` turns before each row, or over all; NULLs are left out.
 
-    The last ``turns`` rows of a piece are also sent to the next piece, where they only serve as
-    neighbours; this repeats ``turns`` rows in every ``CELL`` and keeps each window whole.
+    Rows see their own piece of the conversation through a window. The last row of a piece has all that
+    the pieces after it need; these rows are joined to the later pieces, so that only they move. Pieces
+    are those that ``with_turn_index`` kept, by which rows lie together already; else ``cell`` turns, where
+    only a full piece has turns after it. Short conversations send nothing.
     """
-    if turns not in (1, 2, 3, 4, 5):
-        raise ValueError(f"turns must be 1 to 5, got {turns}")
-    home = F.floor(F.col("turn_idx") / CELL).cast("long")
-    near_end = F.col("turn_idx") % CELL >= CELL - turns
-    places = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
-    window = Window.partitionBy("conv_id", "_cell").orderBy("turn_idx").rowsBetween(-turns, -1)
+    kept = "_piece" in utterances.columns
+    rows = utterances if kept else utterances.withColumn("_piece", F.floor(F.col("turn_idx") / cell).cast("long"))
+    piece = Window.partitionBy("conv_id", "_piece").orderBy("turn_idx")
+    first = Window.unboundedPreceding if most is None else -most
+
+    def last(values: Column) -> Column:
+        return values if most is None else F.when(F.size(values) > most, F.slice(values, -most, most)).otherwise(values)
+
+    # rows without a value hold their place until the end
+    rows = rows.withColumn("_said", F.struct(value.alias("v"))).withColumn(
+        "_own", F.collect_list("_said").over(piece.rowsBetween(first, -1))
+    )
+    ends = F.col("turn_idx") % cell == cell - 1
+    if kept:
+        rows = rows.withColumn("_last", F.lead("turn_idx").over(piece).isNull())
+        ends = F.col("_last") & F.col("_several")
+    seams = rows.filter(ends).select(
+        "conv_id", "_piece", last(F.concat("_own", F.array("_said"))).alias("_tail")
+    )
+    # a piece has a row at least, so as many pieces hold ``most`` of them
+    reach = (first, -1) if kept else (first if most is None else 1 - most, 0)
+    so_far = Window.partitionBy("conv_id").orderBy("_piece").rowsBetween(*reach)
+    carried = seams.select(
+        "conv_id",
+        (F.col("_piece") if kept else F.col("_piece") + 1).alias("_piece"),
+        F.flatten(F.collect_list("_tail").over(so_far)).alias("_earlier"),
+    )
+    whole = F.when(F.col("_earlier").isNull(), F.col("_own")).otherwise(last(F.concat("_earlier", "_own")))
     return (
-        utterances.withColumn("_said", tagged_utterance(include_labels))
-        .withColumn("_cell", F.explode(places))
-        .withColumn("recent", F.collect_list("_said").over(window))
-        .filter(F.col("_cell") == home)
-        .drop("_cell", "_said")
+        rows.join(carried, ["conv_id", "_piece"], "left")
+        .withColumn(name, F.transform(F.filter(whole, lambda s: s["v"].isNotNull()), lambda s: s["v"]))
+        .drop("_said", "_piece", "_several", "_last", "_own", "_earlier")
     )
 
 
+def with_recent(utterances: DataFrame, turns: int = 5, include_labels: bool = True) -> DataFrame:
+    """Add ``recent``: the tagged utterances of up to ``turns`` turns before each row, in order."""
+    if turns not in (1, 2, 3, 4, 5):
+        raise ValueError(f"turns must be 1 to 5, got {turns}")
+    return with_earlier(utterances, tagged_utterance(include_labels), "recent", turns, CELL)
+
+
 def context_of(recent: Column, turns: int = 5) -> Column:
     """The last ``turns`` utterances as one string; a first turn reads ``<START>``."""
     kept = F.when(F.size(recent) > turns, F.slice(recent, -turns, turns)).otherwise(recent)
@@ -98,36 +127,9 @@ def with_history(utterances: DataFrame, value: Column, name: str, cell: int = HI
 
     A row holds its whole history, so a conversation has to fit a row in any case; what grows
     with the square of its length is the output. That output is spread over pieces of ``cell``
-    turns: each row sees its own piece through a running window and gets the earlier pieces by a
-    join. Only a full piece has turns after it, so short conversations send nothing to that join.
+    turns.
     """
-    pieces = utterances.withColumn("_said", value).withColumn(
-        "_cell", F.floor(F.col("turn_idx") / cell).cast("long")
-    )
-    place = Window.partitionBy("conv_id", "_cell").orderBy("turn_idx")
-    own = F.collect_list("_said").over(place.rowsBetween(Window.unboundedPreceding, -1))
-    so_far = (
-        Window.partitionBy("conv_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # the row that ends a full piece has all others of it before itself
-    full = (
-        pieces.select("conv_id", "_cell", "turn_idx", "_said")
-        .withColumn("_own", own)
-        .filter(F.col("turn_idx") % cell == cell - 1)
-    )
-    earlier = full.select(
-        "conv_id",
-        (F.col("_cell") + 1).alias("_cell"),
-        F.flatten(
-            F.collect_list(F.concat("_own", F.array_compact(F.array("_said")))).over(so_far)
-        ).alias("_earlier"),
-    )
-    return (
-        pieces.withColumn("_own", own)
-        .join(earlier, ["conv_id", "_cell"], "left")
-        .withColumn(name, F.when(F.col("_earlier").isNull(), F.col("_own")).otherwise(F.concat("_earlier", "_own")))
-        .drop("_said", "_cell", "_own", "_earlier")
-    )
+    return with_earlier(utterances, value, name, None, cell)
 
 
 def transcripts(utterances: DataFrame) -> DataFrame:

@@ -14,45 +14,51 @@ from parley.session import durable
 CELL = 4096
 
 
-def with_turn_index(turns: DataFrame, counted: Column | None = None, cell: int = CELL) -> DataFrame:
+def with_turn_index(
+    turns: DataFrame, counted: Column | None = None, cell: int = CELL, keep: bool = False
+) -> DataFrame:
     """Keep the ``counted`` rows of each conversation, number them from 0, attach the situation.
 
     ``turns`` is ``(conv_id, turn, role, text)``; ``system`` rows give the situation, all others
-    are counted unless told otherwise. Rows move once, by (conversation, piece of ``cell`` turns);
-    only conversations that reach beyond one piece carry anything over, so that table is small.
+    are counted unless told otherwise. Rows are read and moved once, by (conversation, piece of ``cell``
+    turns): what a piece carries over is summed up from the same exchange, and only conversations
+    that reach beyond one piece carry anything, so that table is small. With ``keep`` the rows
+    keep ``_piece``, by which they lie together, and ``_several``, true where there are other pieces.
     """
     system = F.col("role") == "system"
     counted = ~system if counted is None else counted
-    pieces = turns.withColumn("_cell", F.floor(F.col("turn") / cell).cast("long"))
+    pieces = turns.withColumn("_piece", F.floor(F.col("turn") / cell).cast("long")).repartition("conv_id", "_piece")
+    # ordered by the first turn, not by the piece: both branches then need the same columns of the exchange
+    conversation = Window.partitionBy("conv_id")
     carried = (
-        pieces.groupBy("conv_id", "_cell")
+        pieces.groupBy("conv_id", "_piece")
         .agg(
             F.count_if(counted).alias("_n"),
             F.max(F.when(system, F.col("text"))).alias("_situation"),
+            F.min("turn").alias("_first"),
         )
         .withColumn(
             "_before",
-            F.sum("_n").over(
-                Window.partitionBy("conv_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-            ),
+            F.sum("_n").over(conversation.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)),
         )
-        .withColumn("_carried_situation", F.max("_situation").over(Window.partitionBy("conv_id")))
-        .withColumn("_pieces", F.count("*").over(Window.partitionBy("conv_id")))
+        .withColumn("_carried_situation", F.max("_situation").over(conversation))
+        .withColumn("_pieces", F.count("*").over(conversation))
         .filter("_pieces > 1")
-        .select("conv_id", "_cell", "_before", "_carried_situation")
+        .select("conv_id", "_piece", "_before", "_carried_situation", F.lit(True).alias("_several"))
     )
-    piece = Window.partitionBy("conv_id", "_cell").orderBy("turn")
+    piece = Window.partitionBy("conv_id", "_piece").orderBy("turn")
     seen = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         pieces.withColumn("_seen", F.count_if(counted).over(seen) - 1)
         .withColumn("_own_situation", F.max(F.when(system, F.col("text"))).over(whole))
         .filter(counted)
-        .join(carried, ["conv_id", "_cell"], "left")
+        .join(carried, ["conv_id", "_piece"], "left")
         .select(
             *turns.columns,
             (F.col("_seen") + F.coalesce("_before", F.lit(0))).cast("int").alias("turn_idx"),
             F.coalesce("_carried_situation", "_own_situation").alias("situation"),
+            *(["_piece", F.coalesce("_several", F.lit(False)).alias("_several")] if keep else []),
         )
     )
 

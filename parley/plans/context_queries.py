@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.context import (
+    HISTORY_CELL,
     context_of,
     evaluation_examples,
     fill_nulls,
@@ -15,24 +16,24 @@ from parley.operators.context import (
     transcripts,
     with_recent,
 )
-from parley.operators.positions import with_position
+from parley.operators.positions import CELL, with_position
 from parley.plans import corpus
 from parley.plans.corpus_sql import UTT, strip
 from parley.sources.readers import flatten_dialogues, parse_dialogues
 
 
 def ctx_window5(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_recent(corpus.utterances(spark, folder)).filter(is_supporter())
+    rows = with_recent(corpus.utterances(spark, folder, CELL)).filter(is_supporter())
     return rows.select("conv_id", "turn_idx", "split", context_of(F.col("recent")).alias("context"))
 
 
 def ctx_window2(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_recent(corpus.utterances(spark, folder), 2, include_labels=False).filter(is_supporter())
+    rows = with_recent(corpus.utterances(spark, folder, CELL), 2, include_labels=False).filter(is_supporter())
     return rows.select("conv_id", "turn_idx", context_of(F.col("recent"), 2).alias("context"))
 
 
 def ctx_eval_split(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation_examples(corpus.utterances(spark, folder)).select(
+    return evaluation_examples(corpus.utterances(spark, folder, CELL)).select(
         "conv_id", "turn_idx", "context_t1", "context_t2", "context", "current_turn", "label_context"
     )
 
@@ -42,7 +43,7 @@ def ctx_history_array(spark: SparkSession, folder: str) -> DataFrame:
         "dialogue",
         lambda u: F.concat_ws("|", u["speaker"], F.coalesce(u["strategy"], F.lit("-")), u["text"]),
     )
-    return history_arrays(corpus.utterances(spark, folder)).select(
+    return history_arrays(corpus.utterances(spark, folder, HISTORY_CELL)).select(
         "conv_id",
         "turn_idx",
         F.size("dialogue").alias("n_turns"),
@@ -51,7 +52,7 @@ def ctx_history_array(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ctx_transcript(spark: SparkSession, folder: str) -> DataFrame:
-    return transcripts(corpus.utterances(spark, folder)).select("conv_id", "turn_idx", "input_dialog")
+    return transcripts(corpus.utterances(spark, folder, HISTORY_CELL)).select("conv_id", "turn_idx", "input_dialog")
 
 
 def example_ordinal(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,11 +6,11 @@ integer arithmetic that any SQL engine repeats exactly (see ``corpus_sql``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.context import evaluation_examples
+from parley.operators.context import evaluation_examples, with_earlier
 from parley.operators.labels import raw_strategy_name, stage_id, stage_of, strategy_name
 from parley.operators.positions import CELL, with_turn_index
 from parley.schema import STAGES
@@ -72,9 +72,12 @@ def split_name(conv: str = "conv_id") -> Column:
     return F.when(rest < 8, "train").when(rest == 8, "validation").otherwise("test")
 
 
-def utterances(spark: SparkSession, folder: str) -> DataFrame:
-    """``conv_id, turn, turn_idx, speaker, text, strategy, strategy_true_id, situation, split``."""
-    turns = with_turn_index(conversations(spark, folder))
+def utterances(spark: SparkSession, folder: str, cell: int | None = None) -> DataFrame:
+    """``conv_id, turn, turn_idx, speaker, text, strategy, strategy_true_id, situation, split``.
+
+    With ``cell`` the rows keep the pieces of ``cell`` turns by which they lie together.
+    """
+    turns = with_turn_index(conversations(spark, folder), cell=cell or CELL, keep=cell is not None)
     speaker = F.when(F.col("role") == "assistant", "sys").otherwise("usr")
     return turns.select(
         "conv_id",
@@ -86,6 +89,7 @@ def utterances(spark: SparkSession, folder: str) -> DataFrame:
         F.when(speaker == "sys", _true_strategy()).alias("strategy_true_id"),
         "situation",
         split_name().alias("split"),
+        *(["_piece", "_several"] if cell else []),
     )
 
 
@@ -139,7 +143,7 @@ def labelled_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Supporter turns with context, labels, probabilities and the result group they belong to."""
-    return with_predictions(evaluation_examples(utterances(spark, folder))).withColumn(
+    return with_predictions(evaluation_examples(utterances(spark, folder, CELL))).withColumn(
         "classifier", classifier_name()
     )
 
@@ -175,20 +179,15 @@ def requests(rows: DataFrame) -> DataFrame:
 def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each supporter turn against the supporter turn before it in the same conversation.
 
-    Supporter turns are numbered in pieces like all turns, and a turn meets its predecessor by
-    (conversation, number), so a long conversation needs no task of its own.
+    Supporter turns are numbered in pieces like all turns, and a piece gets the last one before it, so a
+    long conversation needs no task of its own and rows move once.
     """
-    replies = with_turn_index(conversations(spark, folder), counted=F.col("role") == "assistant").select(
-        "conv_id", "turn", "turn_idx", "text"
-    )
-    piece = F.floor(F.col("turn_idx") / CELL).cast("long")
-    ends = F.col("turn_idx") % CELL == CELL - 1
-    places = F.when(ends, F.array(piece, piece + 1)).otherwise(F.array(piece))
-    window = Window.partitionBy("conv_id", "_cell").orderBy("turn_idx")
+    replies = with_turn_index(conversations(spark, folder), counted=F.col("role") == "assistant", keep=True)
+    narrow = replies.select("conv_id", "turn", "turn_idx", "text", "_piece", "_several")
     return (
-        replies.withColumn("_cell", F.explode(places))
-        .withColumn("llm_parsed_response", F.lag("text").over(window))
-        .filter((F.col("_cell") == piece) & F.col("llm_parsed_response").isNotNull())
+        with_earlier(narrow, F.col("text"), "before", 1, CELL)
+        .withColumn("llm_parsed_response", F.try_element_at("before", F.lit(1)))
+        .filter(F.col("llm_parsed_response").isNotNull())
         .select(
             "conv_id",
             "turn",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import tidy
 from parley.operators import matching
-from parley.operators.context import transcripts
+from parley.operators.context import HISTORY_CELL, transcripts
 from parley.operators.generation import failures, generate_text, records, with_combinations, with_prompts
 from parley.operators.prompts import ANSWER_HEADING, SCORE_NAMES, resolve_stage, templates
 from parley.plans import corpus
@@ -39,7 +39,7 @@ def occurrence_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _requests_with_context(spark: SparkSession, folder: str, group: list[str] | None = None) -> DataFrame:
-    turns = corpus.utterances(spark, folder)
+    turns = corpus.utterances(spark, folder, HISTORY_CELL)
     said = transcripts(turns).select("conv_id", "turn_idx", "input_dialog", "situation")
     asked = corpus.requests(corpus.predictions(spark, folder))
     return matching.attach_context(asked, _matches(spark, folder, group), said, REQUEST, group=group)
@@ -73,7 +73,7 @@ def stage_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 def _prompt_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Supporter turns with their own transcript and situation."""
-    said = transcripts(corpus.utterances(spark, folder)).withColumn("situation", tidy(F.col("situation")))
+    said = transcripts(corpus.utterances(spark, folder, HISTORY_CELL)).withColumn("situation", tidy(F.col("situation")))
     return corpus.with_predictions(said)
 
 

@@ -15,6 +15,7 @@ from parley.functions.tokens import (
     word_tokens,
 )
 from parley.operators.context import context_of, is_supporter, with_recent
+from parley.operators.positions import CELL
 from parley.plans import corpus
 from parley.plans.corpus_sql import LABELLED, UTT, case, normal, punct, strip, words
 from parley.plans.corpus_sql import text as quoted
@@ -62,7 +63,7 @@ def ngrams(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def render_turns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_recent(corpus.utterances(spark, folder)).filter(is_supporter())
+    rows = with_recent(corpus.utterances(spark, folder, CELL)).filter(is_supporter())
     return rows.select(
         "conv_id",
         "turn_idx",

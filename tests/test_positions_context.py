@@ -95,6 +95,51 @@ def test_context_against_a_plain_loop(spark, talk, monkeypatch, cell):
     assert sorted(wide) == sorted(narrow)
 
 
+@pytest.mark.parametrize("cell", [4, 9, 4096])
+def test_kept_pieces_against_plain_lists(spark, cell):
+    """Gaps in turns, pieces of a single row, rows without text: the same as without pieces."""
+    chance = random.Random(cell)
+    rows = []
+    for conv in range(6):
+        turns = sorted(chance.sample(range(300), 25 if conv else 60))
+        for t in turns:
+            role = "system" if chance.random() < 0.2 else chance.choice(["assistant", "user"])
+            rows.append((conv, t, role, None if chance.random() < 0.1 else f"c{conv} t{t}"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    kept = positions.with_turn_index(df, cell=cell, keep=True).withColumn("strategy", F.lit("Others"))
+    kept = kept.withColumn("speaker", F.when(F.col("role") == "assistant", "sys").otherwise("usr"))
+    recent = {(r["conv_id"], r["turn"]): r for r in cx.with_recent(kept, 3).collect()}
+    lines = {(r["conv_id"], r["turn"]): r["lines"] for r in cx.with_history(kept, F.col("text"), "lines").collect()}
+    assert "_piece" not in cx.with_recent(kept, 3).columns
+    for conv in range(6):
+        said = [r for r in rows if r[0] == conv and r[2] != "system"]
+        for i, (_, turn, _, _) in enumerate(said):
+            tags = ["[supporter] [Others] " if r[2] == "assistant" else "[seeker] " for r in said]
+            want = [tags[j] + (said[j][3] or "") for j in range(max(0, i - 3), i)]
+            assert recent[conv, turn]["recent"] == want and recent[conv, turn]["turn_idx"] == i
+            assert lines[conv, turn] == [r[3] for r in said[:i] if r[3] is not None]
+    assert len(recent) == len(lines) == sum(r[2] != "system" for r in rows)
+
+
+def scans(df, capsys):
+    """How often the plan that ran read files."""
+    df.collect()
+    capsys.readouterr()
+    df.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan
+    return plan.count("FileScan")
+
+
+def test_conversations_are_read_once(spark, capsys):
+    from parley.plans import context_queries, matching_queries
+
+    folder = "/root/testdata/sf0.001"
+    assert scans(context_queries.ctx_window5(spark, folder), capsys) == 1
+    assert scans(context_queries.ctx_transcript(spark, folder), capsys) <= 2
+    assert scans(matching_queries.build_prompts(spark, folder), capsys) <= 2
+
+
 def test_window_width_is_checked(talk):
     with pytest.raises(ValueError, match="1 to 5"):
         cx.with_recent(talk, 6)
