@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,10 +69,19 @@ def parse_float(value: Column) -> Column:
 def format_probability(value: Column) -> Column:
     """Three decimals; anything that is not a finite number reads as not evaluated.
 
-    Whole part and fraction of a double are exact, and only the fraction is rounded. From 2**63 on,
-    where doubles are whole numbers that no long holds, the digits are those of the shortest spelling.
+    Whole part and fraction of a double are exact, and only the fraction is rounded. From 2**63 on doubles
+    are whole numbers that no long holds; up to 2**126 they are written out by decimals, beyond that the
+    digits are those of the shortest spelling.
     """
 
+    def large(magnitude: Column) -> Column:
+        """A long times a power of two: both are exact as decimals, and so is their product."""
+        shift = F.floor(F.log2(magnitude)).cast("int") - 54
+        powers = F.array(*[F.lit(Decimal(1 << s)).cast("decimal(22,0)") for s in range(8, 73)])
+        units = (magnitude / F.pow(F.lit(2.0), shift)).cast("long").cast("decimal(17,0)")
+        whole = (units * F.try_element_at(powers, shift - 7)).cast("decimal(38,0)")
+        return F.concat(whole.cast("string"), F.lit(".000"))
+
     def fraction(magnitude: Column) -> Column:
         rest = magnitude - F.floor(magnitude).cast("double")
         return _rounded_units(rest, 1000.0).cast("long")
@@ -86,6 +97,7 @@ def format_probability(value: Column) -> Column:
         return (
             F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), NO_PROBABILITY)
             .when(F.abs(number) < float(2**63), _once(F.abs(number), joined))
+            .when(F.abs(number) < float(2**126), _once(F.abs(number), large))
             .otherwise(F.format_string("%.3f", F.abs(number)))
         )
 

@@ -102,16 +102,19 @@ def split_scores(df: DataFrame, true: str, probs: str, by: list[str]) -> DataFra
     """Macro F1 of the most probable class and mean log loss per group.
 
     ``probs`` is the array of class probabilities and ``true`` the class's place in it. Probabilities
-    below ``LEAST_PROBABILITY`` count as that, so that a sure mistake has a finite loss. ``NULL`` is
-    a group like any other.
+    below ``LEAST_PROBABILITY`` count as that, so that a sure mistake has a finite loss. Rows whose class
+    has no probability, or one that is none (NULL, NaN, below 0 or above 1), take no part in the loss and are
+    counted as ``unscored``. ``NULL`` is a group like any other.
     """
+    own = F.try_element_at(F.col(probs), (F.col(true) + 1).cast("int"))
+    own = F.when(own.between(0.0, 1.0), own)
     scored = df.withColumn("_pred", (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
     loss = scored.groupBy(*by).agg(
-        F.avg(
-            -F.log(F.greatest(F.try_element_at(F.col(probs), (F.col(true) + 1).cast("int")), F.lit(LEAST_PROBABILITY)))
-        ).alias("loss")
+        F.avg(F.when(own.isNotNull(), -F.log(F.greatest(own, F.lit(LEAST_PROBABILITY))))).alias("loss"),
+        F.count_if(own.isNull()).alias("unscored"),
     )
-    return join_groups(class_f1(scored, true, "_pred", by), loss, by).select(*by, "macro_f1", "loss", "rows")
+    scores = join_groups(class_f1(scored, true, "_pred", by), loss, by)
+    return scores.select(*by, "macro_f1", "loss", "rows", "unscored")
 
 
 def strategy_metrics(scores: DataFrame, total_params: float, turn: int, encoder: str) -> DataFrame:

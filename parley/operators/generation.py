@@ -6,13 +6,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import full_name, parse_generated, short_name, tidy
 from parley.operators.prompts import ANSWER_HEADING, prompt, resolve_stage, strategy_scores
 from parley.schema import GENERATORS, RECORD_FIELDS
+from parley.session import stored
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -79,6 +81,65 @@ def generate_text(
     return df.withColumn(output, answer.asNondeterministic()(F.col(prompt_column)))
 
 
+LEDGER = "digest string, answer string, failed boolean"
+
+
+def prompt_digest(prompt_column: str = "prompt", asked_of: tuple[str, ...] = ()) -> Column:
+    """What a prompt is known by: its text and the columns that say who is asked."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*asked_of, prompt_column)]
+    return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """(digest, answer, failed, run) of all runs so far; without a run, no rows."""
+    shape = f"{LEDGER}, run int"
+    try:
+        return spark.read.schema(shape).parquet(ledger)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], shape)
+
+
+def settled(runs: DataFrame) -> DataFrame:
+    """(digest, answer, failed): the last answer to each prompt, or if none succeeded the last failure."""
+    rank = F.struct(~F.col("failed"), F.col("run"))
+    return runs.groupBy("digest").agg(F.max_by("answer", rank).alias("answer"), F.min("failed").alias("failed"))
+
+
+def resume_generation(
+    df: DataFrame,
+    ledger: str,
+    generate: Generator = echo_generator,
+    prompt_column: str = "prompt",
+    asked_of: tuple[str, ...] = (),
+    output: str = "llm_raw_output",
+    batch: int = 256,
+) -> DataFrame:
+    """:func:`generate_text`, asking only what no earlier run has an answer to.
+
+    Every run writes its answers to a folder of ``ledger``, keyed by the digest of the prompt and of
+    the columns ``asked_of``. A later run asks for prompts that are not there, or that only ever failed; equal
+    prompts are asked once. A run that is lost leaves answers that count or none, so it can simply be
+    started again; a run with nothing to ask writes nothing. Two runs at the same time may ask twice. Rows
+    get the last good answer, or the last failure.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_digest", prompt_digest(prompt_column, asked_of))
+    wanted = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.min(prompt_column).alias("prompt"))
+    runs = read_ledger(spark, ledger)
+    good = runs.filter("NOT failed").select("digest").distinct()
+    # stored, so that the question whether there is anything to ask is not worked out twice
+    open_prompts = stored(wanted.join(good, "digest", "left_anti"), "open-prompts")
+    if open_prompts.limit(1).count():
+        run = (runs.agg(F.max("run")).first()[0] or 0) + 1
+        answered = generate_text(open_prompts, generate, "prompt", "answer", batch)
+        failed = F.col("answer").startswith(ERROR)
+        answered.select("digest", "answer", failed.alias("failed")).write.parquet(f"{ledger.rstrip('/')}/run={run}")
+    answers = settled(read_ledger(spark, ledger)).select(F.col("digest").alias("_digest"), F.col("answer").alias(output))
+    return keyed.join(answers, "_digest", "left").drop("_digest")
+
+
 def with_combinations(requests: DataFrame, generators: list[str]) -> DataFrame:
     """One copy of every request per generator (a short list given by the caller)."""
     names = F.array(*[F.lit(g) for g in generators])

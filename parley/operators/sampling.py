@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.text import strip
 from parley.operators.positions import with_position
+from parley.schema import START
 from parley.session import stored
 
 COPIES_PER_ROW = 1000
 PRIME = 1_000_003
+SEED = 42
+#: Rounds of the network behind an epoch's order, and the factor that scrambles within a round.
+ROUNDS, SCRAMBLE = 6, 73_244_475
+WALK = 64
 
 
 def seeded_key(seed: int = 42, conv: str = "conv_id", turn: str = "turn") -> Column:
@@ -110,6 +118,63 @@ def slice_rows(df: DataFrame, order: list[str], start: int = 0, end: int = -1) -
     return kept.drop("_ordinal")
 
 
+def slice_requests(df: DataFrame, order: list[str], start: int = 0, end: int = -1, context: str = "context") -> DataFrame:
+    """:func:`slice_rows` of what is asked for: rows of a first turn are out before anything is numbered."""
+    return slice_rows(df.filter(~strip(F.col(context)).eqNullSafe(F.lit(START))), order, start, end)
+
+
+def _scrambled(value: Column, salt: int) -> Column:
+    """A number below 2**32 from one below 2**31, in whole-number arithmetic that any engine repeats."""
+    mixed = value * 2 + salt
+    for _ in range(2):
+        mixed = mixed.bitwiseXOR(F.shiftright(mixed, 16)) * SCRAMBLE % (1 << 32)
+    return mixed.bitwiseXOR(F.shiftright(mixed, 16))
+
+
+def epoch_salts(epoch: int, seed: int) -> list[int]:
+    return [(seed * 1_000_003 + epoch * 7_919 + step * 104_729) % (1 << 31) for step in range(ROUNDS)]
+
+
+def epoch_order(df: DataFrame, number: str, rows: int, epoch: int, seed: int = SEED) -> DataFrame:
+    """Add ``epoch_pos``: a place of its own from 0 to ``rows`` - 1 for each ``number`` of the same range.
+
+    Each epoch has another order, and none needs a sort or a shuffle: places follow from the number alone,
+    by a Feistel network over pairs of remainders (Black and Rogaway 2002). The pairs are at most the square
+    root of ``rows`` more than the rows; a number that lands beyond the rows goes round again, which is
+    a permutation of the rows still. Rows are numbered once, by :func:`with_ordinal`.
+    """
+    if not 0 <= rows < 1 << 61:
+        raise ValueError(f"rows must be from 0 to 2**61, got {rows}")
+    wide = max(1, math.isqrt(max(rows - 1, 0)) + 1)
+    high = max(1, -(-rows // wide))
+    salts = epoch_salts(epoch, seed)
+
+    def step(turn: int):
+        def mixed(pair: Column) -> Column:
+            a, b = pair["a"], pair["b"]
+            if turn % 2:
+                return F.struct(a.alias("a"), ((b + _scrambled(a, salts[turn])) % high).alias("b"))
+            return F.struct(((a + _scrambled(b, salts[turn])) % wide).alias("a"), b.alias("b"))
+
+        return mixed
+
+    def walked(place: Column) -> Column:
+        pair = F.array(F.struct((place % wide).alias("a"), F.call_function("div", place, F.lit(wide)).alias("b")))
+        for turn in range(ROUNDS):
+            pair = F.transform(pair, step(turn))
+        return F.transform(pair, lambda p: p["b"] * wide + p["a"])[0]
+
+    start = F.col(number).cast("long")
+    # fewer places than ``wide`` lie beyond the rows, so up to WALK**2 rows this many turns always do; with more
+    # rows a place is beyond them once in more than WALK times, and WALK times in a row practically never
+    turns = F.sequence(F.lit(1), F.lit(WALK))
+    done = F.aggregate(turns, walked(start), lambda place, _: F.when(place < rows, place).otherwise(walked(place)))
+    stray = F.raise_error(F.lit("a place was not found"))
+    return df.withColumn("epoch_pos", done).withColumn(
+        "epoch_pos", F.when(F.col("epoch_pos") < rows, F.col("epoch_pos")).otherwise(stray.cast("long"))
+    )
+
+
 def cap_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of every group; 0 keeps all. Positions are counted in pieces."""
     if n <= 0:

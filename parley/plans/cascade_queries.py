@@ -102,7 +102,7 @@ def scores_by_split(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("strategy_true_id") < 2, 0).otherwise(1).alias("label"),
         F.col(cascade.FIRST).alias("probs"),
     )
-    scores = split_scores(rows, "label", "probs", ["split"])
+    scores = split_scores(rows, "label", "probs", ["split"]).drop("unscored")
     return scores.select("split", F.round("macro_f1", 6).alias("macro_f1"), F.round("loss", 6).alias("loss"), "rows")
 
 

@@ -16,8 +16,9 @@ from parley.operators.labels import (
     strategy_name,
 )
 from parley.plans import corpus
-from parley.plans.corpus_sql import LABELLED, NAMES, STAGE_OF, UTT, case
+from parley.plans.corpus_sql import LABELLED, NAMES, PREDICTIONS, STAGE_OF, UTT, case
 from parley.schema import MODULES, RAW_STRATEGY_SPELLING, STAGE_ABBREV, STRATEGIES
+from parley.session import stored
 
 
 def label_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +82,24 @@ def shuffle_order(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.shuffled(rows, ["conv_id", "turn"])
 
 
+EPOCHS = (0, 1)
+
+
+def epoch_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Supporter turns in the order of two epochs; they are numbered once."""
+    rows = corpus.conversations(spark, folder).filter("role = 'assistant'").select("conv_id", "turn")
+    numbered = stored(sampling.with_ordinal(rows, ["conv_id", "turn"]), "numbered")
+    total = numbered.count()
+    orders = [sampling.epoch_order(numbered, "idx", total, e).withColumn("epoch", F.lit(e)) for e in EPOCHS]
+    return orders[0].unionByName(orders[1]).select("conv_id", "turn", "epoch", "epoch_pos")
+
+
+def slice_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """A slice of what is asked for; first turns do not count."""
+    rows = corpus.predictions(spark, folder).select("conv_id", "turn", "context", "strategy_pred")
+    return sampling.slice_requests(rows, ["conv_id", "turn"], 5, 60).drop("context")
+
+
 def demo_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.hash_fraction(_labels(spark, folder))
 
@@ -105,11 +124,35 @@ QUERIES = {
     "balance_second": balance_second,
     "training_set_sizes": class_parts,
     "shuffle_order": shuffle_order,
+    "epoch_order": epoch_order,
     "demo_sample": demo_sample,
+    "slice_requests": slice_requests,
     "slice_rows": slice_rows,
     "cap_rows": cap_rows,
 }
 
+
+
+def _epochs_sql() -> str:
+    """The network of ``sampling.epoch_order`` in SQL; places beyond the rows go round again."""
+    query = "SELECT conv_id, turn, epoch, n, wide, high, place % wide AS a, place // wide AS b FROM walk WHERE place >= n OR NOT begun"
+    for turn in range(sampling.ROUNDS):
+        mine, other, size = ("b", "a", "high") if turn % 2 else ("a", "b", "wide")
+        salts = " ".join(f"WHEN {e} THEN {sampling.epoch_salts(e, sampling.SEED)[turn]}" for e in EPOCHS)
+        query = f"SELECT *, CAST({other} * 2 + CASE epoch {salts} END AS bigint) AS u FROM ({query})"
+        for _ in range(2):
+            query = f"SELECT * REPLACE (CAST(xor(u, u >> 16) * {sampling.SCRAMBLE} % 4294967296 AS bigint) AS u) FROM ({query})"
+        query = f"SELECT * EXCLUDE (u) REPLACE (({mine} + xor(u, u >> 16)) % {size} AS {mine}) FROM ({query})"
+    return f"""WITH RECURSIVE numbered AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, count(*) OVER () AS n
+  FROM conversations WHERE role = 'assistant'),
+sized AS (SELECT *, CAST(floor(sqrt(n - 1)) AS bigint) + 1 AS wide FROM numbered),
+walk AS (SELECT conv_id, turn, epoch, n, wide, (n + wide - 1) // wide AS high, idx AS place, false AS begun
+  FROM sized, (SELECT unnest({list(EPOCHS)}) AS epoch)
+  UNION ALL SELECT conv_id, turn, epoch, n, wide, high, b * wide + a, true FROM ({query}))
+SELECT conv_id, turn, epoch, place AS epoch_pos FROM walk WHERE begun AND place < n"""
+
+
+_EPOCHS = _epochs_sql()
 _RAW = {i: RAW_STRATEGY_SPELLING.get(i, name) for i, name, _, _ in STRATEGIES}
 _SHORT = {i: short for i, _, short, _ in STRATEGIES}
 # module, strategy, label
@@ -157,6 +200,9 @@ FROM sizes JOIN goal USING (module)""",
     "shuffle_order": f"""
 SELECT conv_id, turn, row_number() OVER (ORDER BY {_KEY}, conv_id, turn) AS shuffle_pos
 FROM conversations WHERE role = 'assistant'""",
+    "epoch_order": _EPOCHS,
+    "slice_requests": f"""WITH {PREDICTIONS} SELECT conv_id, turn, strategy_pred FROM pred WHERE context <> '<START>'
+  ORDER BY conv_id, turn LIMIT 55 OFFSET 5""",
     "demo_sample": f"WITH {_LABELS} SELECT conv_id, turn, split, module, label FROM labels_of WHERE {_KEY} % 10 = 0",
     "slice_rows": f"WITH {LABELLED} SELECT conv_id, turn, strategy_pred FROM pred ORDER BY conv_id, turn LIMIT 70 OFFSET 20",
     "cap_rows": f"""

@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from parley.functions.text import tidy
 from parley.operators import matching
 from parley.operators.context import HISTORY_CELL, transcripts
-from parley.operators.generation import failures, generate_text, records, with_combinations, with_prompts
+from parley.operators.generation import (
+    ERROR,
+    echo_generator,
+    failures,
+    generate_text,
+    read_ledger,
+    records,
+    resume_generation,
+    with_combinations,
+    with_prompts,
+)
 from parley.operators.prompts import ANSWER_HEADING, SCORE_NAMES, resolve_stage, templates
 from parley.plans import corpus
 from parley.plans.corpus_sql import LABELLED, NAMES, PREDICTIONS, STAGE_OF, UTT, case, normal, predicted, strip, text
 from parley.plans.text_queries import rendered, shown_probability
 from parley.schema import GENERATORS, NO_SITUATION, STAGE_ALIASES, STAGES
+from parley.session import scratch_path
 
 KEYS = ["conv_id", "turn"]
 REQUEST = [*KEYS, "attempt"]
@@ -112,6 +123,18 @@ def generation_failures(spark: SparkSession, folder: str) -> DataFrame:
     return failures(done)
 
 
+def generation_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs over the same prompts: one that fails on a stage, one that asks those again, one with nothing to do."""
+    ledger = scratch_path(spark, "ledger")
+    rows = with_combinations(with_prompts(_prompt_rows(spark, folder)).select("stage", "prompt"), COMBINED)
+    for generator in (_Refusing(), echo_generator, _Refusing()):
+        done = resume_generation(rows, ledger, generator, asked_of=("llm_alias",))
+    runs = read_ledger(spark, ledger)
+    asked = runs.groupBy("run").agg(F.count("*").alias("asked"), F.count_if("failed").alias("failed"))
+    left = done.agg(F.count_if(F.col("llm_raw_output").startswith(ERROR)).alias("failed_rows"), F.count("*").alias("rows"))
+    return asked.withColumn("one", F.lit(1)).join(F.broadcast(left.withColumn("one", F.lit(1))), "one").drop("one")
+
+
 QUERIES = {
     "lookup_build": lookup_build,
     "occurrence_match": occurrence_match,
@@ -121,6 +144,7 @@ QUERIES = {
     "build_flat_prompts": build_flat_prompts,
     "generate_records": generate_records,
     "generation_failures": generation_failures,
+    "generation_resumed": generation_resumed,
 }
 
 _LINE = f"CASE WHEN {strip('text')} <> '' THEN CASE speaker WHEN 'sys' THEN 'Supporter : ' ELSE 'Seeker : ' END || {strip('text')} END"
@@ -236,6 +260,12 @@ SELECT conv_id, turn, attempt, llm_alias, llm_id, classifier, strategy_pred AS p
   CASE WHEN raw LIKE 'Strategy: %' THEN regexp_extract(raw, '^Strategy: ([^\\n]*)', 1) ELSE 'N/A' END AS llm_predict_strategy,
   {strip("regexp_extract(raw, '(?s)Response: (.*)', 1)")} AS llm_parsed_response, input_dialog, context_source, situation, prompt
 FROM answered, names""",
+    "generation_resumed": f"""WITH {_OWN}, {predicted('given')},
+q AS (SELECT *, {_STAGED} AS prompt FROM (SELECT *, stage_pred AS stage FROM pred)),
+asked AS (SELECT DISTINCT prompt, prompt LIKE '%stage Action%' AS refused FROM q),
+totals AS (SELECT 2 * count(*) AS n, 2 * count_if(refused) AS r, (SELECT 2 * count(*) FROM q) AS rows FROM asked)
+SELECT CAST(1 AS int) AS run, n AS asked, r AS failed, 0 AS failed_rows, rows FROM totals
+UNION ALL SELECT 2, r, 0, 0, rows FROM totals WHERE r > 0""",
     "generation_failures": f"""WITH {LABELLED}, names(llm_alias, llm_id) AS (VALUES {_ALIAS_ROWS})
 SELECT llm_alias, classifier, count(*) AS failed, 'Error: no answer' AS example FROM pred, names
 WHERE stage_pred = 'Action' GROUP BY ALL""",

@@ -3,6 +3,7 @@
 import math
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.numeric import format_probability, round_exact
@@ -75,3 +76,17 @@ def test_rounding_of_large_numbers(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     for r in rows.select("v", round_exact(F.col("v"), 2).alias("r"), format_probability(F.col("v")).alias("f")).collect():
         assert r["r"] == round(r["v"], 2) and r["f"] == f"{r['v']:.3f}", r
+
+
+def test_large_numbers_are_written_out(spark):
+    values = [2.0**63, 2.0**64, 2.0**64 + 2**12, 3e20, 1e22, 1.7e31, 2.0**100, 2.0**125 * 1.9, -(2.0**77)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in rows.select("v", format_probability(F.col("v")).alias("f")).collect():
+        assert r["f"] == f"{r['v']:.3f}"
+
+
+def test_rows_without_probability_take_no_part(spark):
+    rows = [(0, [0.9, 0.1]), (1, [0.9, None]), (1, [0.2, 1.5]), (0, None), (5, [0.5, 0.5]), (0, [float("nan"), 0.1])]
+    df = spark.createDataFrame(rows, "t int, p array<double>")
+    [got] = split_scores(df, "t", "p", []).collect()
+    assert got["unscored"] == 5 and got["loss"] == pytest.approx(0.105360515)

@@ -85,3 +85,31 @@ def test_module_examples(spark):
     assert got[4, "comforting_action_identifier"]["label"] == 2
     want = sum(strategy in group for _, _, members, _, _ in MODULES for group in members for strategy in (0, 3, 7, 6)) + 4
     assert len(got) == want and len(STRATEGIES) == 8
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 3, 4, 5, 15, 16, 17, 63, 64, 65, 255, 256, 257, 1023, 1024, 1025, 4096, 5000])
+def test_epoch_orders_are_permutations(spark, rows):
+    numbers = spark.range(rows).withColumnRenamed("id", "idx")
+    orders = [[r["epoch_pos"] for r in sampling.epoch_order(numbers, "idx", rows, e).orderBy("idx").collect()] for e in (0, 1)]
+    for order in orders:
+        assert sorted(order) == list(range(rows))
+    if rows > 60:
+        assert orders[0] != orders[1]
+        # neighbours do not stay together
+        steps = [abs(a - b) for a, b in zip(orders[0], orders[0][1:])]
+        assert sum(steps) / len(steps) > rows / 5
+
+
+def test_epoch_order_of_very_many_rows(spark):
+    rows = (1 << 60) + 12345
+    numbers = spark.range(rows - 500, rows).withColumnRenamed("id", "idx")
+    found = [r["epoch_pos"] for r in sampling.epoch_order(numbers, "idx", rows, 3).collect()]
+    assert len(set(found)) == 500 and 0 <= min(found) and max(found) < rows
+    with pytest.raises(ValueError, match="rows must be"):
+        sampling.epoch_order(numbers, "idx", 1 << 61, 0)
+
+
+def test_slices_leave_out_first_turns(spark):
+    df = spark.createDataFrame([(i, " <START> " if i % 3 == 0 else f"c{i}") for i in range(12)] + [(12, None)], "k int, context string")
+    assert sorted(r["k"] for r in sampling.slice_requests(df, ["k"], 2, 5).collect()) == [4, 5, 7]
+    assert 12 in {r["k"] for r in sampling.slice_requests(df, ["k"]).collect()}
