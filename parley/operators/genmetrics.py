@@ -20,7 +20,6 @@ from parley.functions.alignment import (
 from parley.functions.numeric import round_exact
 from parley.functions.text import present
 from parley.functions.tokens import blank_tokens, labelled_grams, punctuation_tokens, word_tokens
-from parley.operators.classmetrics import join_groups
 from parley.schema import SUMMARY_FIELDS
 
 TOKENIZERS = {"words": word_tokens, "punctuation": punctuation_tokens, "blanks": blank_tokens}
@@ -43,10 +42,10 @@ def tokenized(
     )
 
 
-def row_scores(tokens: DataFrame, rouge: bool = True, soft: bool = True) -> DataFrame:
+def row_scores(tokens: DataFrame, rouge: bool = True, soft: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per pair: lengths, clipped n-gram matches ``m1..m4``, unigram F1, ROUGE-L and soft match.
 
-    All of it is computed within the row in one Arrow pass, so nothing is shuffled. Clipping by
+    Tokens go unless ``keep`` names them. All of it is computed within the row in one Arrow pass, so nothing is shuffled. Clipping by
     exploding n-grams instead costs a move of all tokens and eight hashed rows per token.
     """
     rows = tokens.withColumns(
@@ -56,7 +55,8 @@ def row_scores(tokens: DataFrame, rouge: bool = True, soft: bool = True) -> Data
         rows = rows.withColumn("lcs", lcs_length("hyp", "ref"))
     if soft:
         rows = rows.withColumn("soft", trigram_match_f1("hyp", "ref"))
-    rows = rows.select(*[c for c in rows.columns if c not in ("hyp", "ref", "_m")], "_m.*")
+    gone = {"hyp", "ref", "_m"} - set(keep)
+    rows = rows.select(*[c for c in rows.columns if c not in gone], "_m.*")
     rows = rows.withColumn("f1", overlap_f1(F.col("m1"), F.col("h_len"), F.col("r_len")))
     if rouge:
         rows = rows.withColumn("rouge_l", rouge_l(F.col("lcs"), F.col("h_len"), F.col("r_len")))
@@ -135,28 +135,49 @@ def evaluate_generation(
 ) -> DataFrame:
     """All text metrics per group, times 100 (the mean length is not scaled).
 
-    ``NULL`` is a group like any other; without group columns all pairs are one group.
+    ``NULL`` is a group like any other; without group columns all pairs are one group. Pairs are read, cut
+    into tokens and scored once: a pair gives a row for its scores and one for each of its k-grams, tagged by
+    k, and one aggregation by (group, k, k-gram) sums the scores and brings equal k-grams together. It is
+    the only wide shuffle, combined before it; the second aggregation gets a few numbers for each task.
     """
     if not by:
         one = evaluate_generation(pairs.withColumn("_all", F.lit(0)), ["_all"], key, ref, hyp, tokenizer)
         return one.drop("_all")
-    tokens = tokenized(pairs, by, key, ref, hyp, tokenizer)
-    rows = row_scores(tokens)
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("pairs"),
-        F.avg("h_len").alias("length"),
-        F.avg("f1").alias("f1"),
-        F.avg("rouge_l").alias("rouge_l"),
-        F.avg("soft").alias("soft_match"),
-        *bleu_parts(),
+    orders = (1, 2)
+    rows = row_scores(tokenized(pairs, by, key, ref, hyp, tokenizer), keep=("hyp",))
+    # a score row has no k-gram, and all of a group meet in one row of each task before they move
+    own = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram")))
+    tagged = rows.withColumn("_e", F.explode(F.concat(own, *[labelled_grams(F.col("hyp"), k) for k in orders])))
+    scored = F.col("_e.n") == 0
+    parts = {
+        "pairs": F.lit(1),
+        "length": F.col("h_len").cast("double"),
+        **{c: F.col(c) for c in ("f1", "rouge_l", "soft")},
+        **{f"N{n}": F.col(f"m{n}") for n in ORDERS},
+        **{f"D{n}": F.greatest(F.col("h_len") - (n - 1), F.lit(1)) for n in ORDERS},
+        "H": F.col("h_len"),
+        "R": F.col("r_len"),
+    }
+    grams = tagged.groupBy(*by, F.col("_e.n").alias("_n"), F.col("_e.gram").alias("_gram")).agg(
+        F.count("*").alias("_times"), *[F.sum(F.when(scored, value)).alias(name) for name, value in parts.items()]
     )
-    return join_groups(sums, distinct_k(tokens, by), by).select(
+
+    def share(k: int) -> Column:
+        own = F.col("_n") == k
+        times = F.coalesce(F.sum(F.when(own, F.col("_times"))), F.lit(0))
+        return F.count_if(own) / F.greatest(times, F.lit(1))
+
+    sums = grams.groupBy(*by).agg(
+        *[F.sum(name).alias(name) for name in parts], *[share(k).alias(f"distinct_{k}") for k in orders]
+    )
+    means = {"f1": "f1", "rouge_l": "rouge_l", "soft": "soft_match"}
+    return sums.select(
         *by,
         "pairs",
-        "length",
-        *[(100 * F.col(f"distinct_{k}")).alias(f"distinct_{k}") for k in (1, 2)],
+        (F.col("length") / F.col("pairs")).alias("length"),
+        *[(100 * F.col(f"distinct_{k}")).alias(f"distinct_{k}") for k in orders],
         *[(100 * bleu_of(k)).alias(f"bleu_{k}") for k in (1, 2)],
-        *[(100 * F.col(c)).alias(c) for c in ("f1", "rouge_l", "soft_match")],
+        *[(100 * F.col(name) / F.col("pairs")).alias(shown) for name, shown in means.items()],
     )
 
 

@@ -169,3 +169,14 @@ def test_leaderboard(spark):
     rows = {r["model"]: tuple(r)[1:] for r in cm.leaderboard(texts, classes).collect()}
     assert rows["m"] == ("1.00", "2.00", "3.00", "4.00", "5.00", "6.00", "0.5000", "0.2500")
     assert rows["n"] == ("-",) * 6 + (f"{0.12345:.4f}", "1.0000")
+
+
+def test_report_moves_rows_once(spark, capsys):
+    """One scan, one wide shuffle, one of sums; no join."""
+    df = spark.createDataFrame([("a", i, f"the cat {i} sat", f"a cat {i} sat down") for i in range(50)], "g string, k int, r string, h string")
+    report = gm.evaluate_generation(df, ["g"], ["k"], "r", "h")
+    report.collect()
+    capsys.readouterr()
+    report.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 2 and "Join" not in plan and plan.count("Scan ExistingRDD") == 1
