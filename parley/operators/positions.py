@@ -6,8 +6,14 @@ rows are numbered within their piece, and each piece is told how many rows came
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.session import durable
 
@@ -63,6 +69,81 @@ def with_turn_index(
     )
 
 
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """For each row but the first, whether it differs from the one before; NULLs and NaNs equal themselves."""
+    n = max((len(c) for c in columns), default=1) - 1
+    changed = np.zeros(max(n, 0), dtype=bool)
+    for column in columns:
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            changed |= np.array([x != y for x, y in zip(values, values[1:])], dtype=bool)
+            continue
+        # equal values get equal codes, NULL and NaN codes of their own
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        changed |= codes[1:] != codes[:-1]
+    return changed
+
+
+def _group_of(columns: list[pa.Array], row: int) -> tuple:
+    """A row's group as values that compare like those of Spark."""
+    values = (column[row].as_py() for column in columns)
+    return tuple("NaN" if isinstance(v, float) and math.isnan(v) else v for v in values)
+
+
+def _edges(ranged: DataFrame, group: list[str]) -> dict[int, int]:
+    """What the first group of each part counts in the parts before it.
+
+    Each part tells its first and its last group and what they count there, two rows whatever its size.
+    Groups lie in neighbouring parts, so one look at these rows in the order of the parts is enough.
+    """
+    kinds = [ranged.schema[c] for c in group]
+    shape = T.StructType(
+        [T.StructField("part", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("n", T.LongType())]
+        + [T.StructField(f"g{i}", field.dataType) for i, field in enumerate(kinds)]
+    )
+    places = [ranged.columns.index(c) for c in (*group, "_step", "_part")]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, types = None, None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i) for i in places]
+            *keys, steps, parts = columns
+            part, types = parts[0].as_py(), [c.type for c in keys]
+            ends = [*(np.flatnonzero(_changes(keys)) + 1).tolist(), batch.num_rows]
+            sums = np.concatenate([[0], np.cumsum(steps.to_numpy())])
+            for start, end in ((0, ends[0]), (([0] + ends)[-2], ends[-1])) if len(ends) > 1 else ((0, ends[0]),):
+                here, n = _group_of(keys, start), int(sums[end] - sums[start])
+                raw = [k[start].as_py() for k in keys]
+                if last is not None and last[0] == here and start == 0:
+                    last = (here, raw, last[2] + n)
+                else:
+                    first = first or last
+                    last = (here, raw, n)
+        if last is not None:
+            rows = [(False, first), (True, last)] if first else [(True, last)]
+            arrays = [pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows])]
+            arrays.append(pa.array([r[1][2] for r in rows], pa.int64()))
+            arrays += [pa.array([r[1][1][i] for r in rows], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(arrays, shape_names)
+
+    shape_names = shape.names
+    rows = ranged.mapInArrow(told, shape).orderBy("part", "last").collect()
+    carried: dict[int, int] = {}
+    open_group, open_count = None, 0
+    for row in rows:
+        key = tuple("NaN" if isinstance(v, float) and math.isnan(v) else v for v in row[3:])
+        if open_group == key:
+            if row["part"] not in carried:
+                carried[row["part"]] = open_count
+            open_count += row["n"]
+        else:
+            carried.setdefault(row["part"], 0)
+            open_group, open_count = key, row["n"]
+    return {part: n for part, n in carried.items() if n}
+
+
 def with_position(
     df: DataFrame,
     group: list[str],
@@ -74,49 +155,78 @@ def with_position(
     """``row_number() over (partition by group order by order)`` without one task per group.
 
     With ``counted`` only such rows raise the number. ``finer = (columns, name)`` adds a second
-    number within ``group + columns`` in the same pass.
+    number within ``group + columns``.
 
-    Rows are range-partitioned by (group, order), so a hot group spans many parts. The sampled
-    range bounds must not move between the uses of the parts, hence the checkpoint; hand in narrow
-    rows. At most one group per part goes on from an earlier part, so the carried counts of the
-    group are never more rows than there are parts and may be broadcast. The finer ones are left
-    to the planner.
+    Rows are range-partitioned by (group, order), so a hot group spans many parts, and sorted there. The
+    sampled range bounds must not move between the uses of the parts, hence the checkpoint; hand in narrow
+    rows. After that nothing moves: rows are numbered as they lie, and only the first group of a part
+    goes on from earlier ones, with a count that two rows from each part tell (see ``_edges``). The
+    finer number is shuffled by part and group, and its carried counts are left to the planner.
     """
     steps = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     ranged = durable(
         df.withColumn("_step", steps)
         .repartitionByRange(*group, *order)
+        .sortWithinPartitions(*group, *order)
         .withColumn("_part", F.spark_partition_id())
     )
+    carried = _edges(ranged, group)
+    places = [ranged.columns.index(c) for c in group]
+    step, part = ranged.columns.index("_step"), ranged.columns.index("_part")
+    names = [*ranged.columns, name]
 
-    def numbered(rows: DataFrame, keys: list[str], column: str, small: bool) -> DataFrame:
-        names = [f"_g{i}" for i in range(len(keys))]
-        earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            ranged.groupBy("_part", *[F.col(k).alias(n) for k, n in zip(keys, names)])
-            .agg(F.sum("_step").alias("_n"))
-            .withColumn("_before", F.sum("_n").over(earlier))
-            .filter("_before > 0")
-            .select(F.col("_part").alias("_p"), *names, "_before")
-        )
-        same = F.col("_part") == F.col("_p")
-        for k, n in zip(keys, names):
-            same = same & F.col(k).eqNullSafe(F.col(n))
-        seen = (
-            Window.partitionBy("_part", *keys)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return (
-            rows.withColumn("_seen", F.sum("_step").over(seen))
-            .join(F.broadcast(carried) if small else carried, same, "left")
-            .withColumn(column, F.col("_seen") + F.coalesce("_before", F.lit(0)))
-            .drop("_seen", "_p", "_before", *names)
-        )
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i) for i in places]
+            first = _group_of(keys, 0)
+            if now is None:
+                count = carried.get(batch.column(part)[0].as_py(), 0)
+            elif first != now:
+                count = 0
+            starts = np.concatenate([[0], np.flatnonzero(_changes(keys)) + 1])
+            sums = np.concatenate([[0], np.cumsum(batch.column(step).to_numpy())])
+            before = np.repeat(sums[starts], np.diff(np.append(starts, batch.num_rows)))
+            numbers = sums[1:] - before
+            if len(starts) > 1:
+                numbers[: starts[1]] += count
+                count = int(numbers[-1])
+            else:
+                numbers += count
+                count = int(numbers[-1])
+            now = _group_of(keys, batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names)
 
-    result = numbered(ranged, group, name, small=True)
+    shape = T.StructType([*ranged.schema.fields, T.StructField(name, T.LongType())])
+    result = ranged.mapInArrow(number, shape)
     columns = [*df.columns, name]
     if finer is not None:
-        result = numbered(result, [*group, *finer[0]], finer[1], small=False)
+        result = _finer(ranged, result, [*group, *finer[0]], order, finer[1])
         columns.append(finer[1])
     return result.select(*columns)
+
+
+def _finer(ranged: DataFrame, rows: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    names = [f"_g{i}" for i in range(len(keys))]
+    earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ranged.groupBy("_part", *[F.col(k).alias(n) for k, n in zip(keys, names)])
+        .agg(F.sum("_step").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(earlier))
+        .filter("_before > 0")
+        .select(F.col("_part").alias("_p"), *names, "_before")
+    )
+    same = F.col("_part") == F.col("_p")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    seen = (
+        Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.withColumn("_seen", F.sum("_step").over(seen))
+        .join(carried, same, "left")
+        .withColumn(column, F.col("_seen") + F.coalesce("_before", F.lit(0)))
+        .drop("_seen", "_p", "_before", *names)
+    )

@@ -33,6 +33,43 @@ def test_position_groups_may_be_null(spark):
     assert all(r["n"] == r["k"] + 1 for r in got) and len(got) == 45
 
 
+@pytest.mark.parametrize("kind", ["string", "long", "double", "struct<x:int>", "none"])
+def test_positions_of_many_groups_and_parts(spark, kind):
+    """Groups within a part, over a border, over several parts; NULL and NaN groups; no group at all."""
+    rng = random.Random(len(kind))
+    makes = {
+        "string": lambda g: None if g == 0 else f"g{g}",
+        "long": lambda g: None if g == 0 else 2**53 + g,
+        "double": lambda g: None if g == 0 else float("nan") if g == 1 else g / 2,
+        "struct<x:int>": lambda g: None if g == 0 else (None if g == 1 else g,),
+        "none": lambda g: 0,
+    }
+    sizes = [1, 2, 40, 400, 3, 1, 250, 7]
+    rows = [(makes[kind](g), i, rng.random() < 0.5, g) for g, n in enumerate(sizes) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"g {'int' if kind == 'none' else kind}, k int, c boolean, own int").repartition(7)
+    group, order = ([], ["g", "k", "own"]) if kind == "none" else (["g"], ["k"])
+    for counted in (None, F.col("c")):
+        got = positions.with_position(df, group, order, "n", counted=counted).collect()
+        seen = {}
+        for r in sorted(got, key=lambda r: (0 if kind == "none" else r["own"], r["k"], r["own"])):
+            own = 0 if kind == "none" else r["own"]
+            seen[own] = seen.get(own, 0) + (1 if counted is None else r["c"])
+            assert r["n"] == seen[own]
+        assert len(got) == len(rows)
+    assert positions.with_position(df.filter("false"), group, order, "n").collect() == []
+
+
+def test_positions_move_rows_once(spark, capsys):
+    """After the checkpoint of the ranges nothing is shuffled."""
+    df = spark.range(1000).selectExpr("id % 3 as g", "id as k")
+    numbered = positions.with_position(df, ["g"], ["k"], "n")
+    numbered.collect()
+    capsys.readouterr()
+    numbered.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def _conversation(conv, n, start=0):
     roles = ["system"] if conv % 2 == 0 else []
     roles += ["assistant" if i % 3 == 0 else "user" for i in range(n)]
