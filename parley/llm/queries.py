@@ -63,9 +63,10 @@ TOOLS = {
 def dialogue_calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """User turns as calls and assistant turns as their results; identifiers and needs follow the turns.
 
-    The table holds no tools, so tool, needs and some wrong arguments are told from the numbers of
-    conversation and turn: in odd conversations a call needs the next call of the conversation, in
-    even ones the one before. The text is the query.
+    The table holds no tools, so tool, needs and faults are told from the numbers of conversation and
+    turn: in odd conversations a call needs the next call of the conversation, in even ones the one before.
+    Some need two, some need each other, some arguments are broken, some tools unknown, and some calls and
+    results repeat the identifier of the one before. The text is the query.
     """
     turns = table(spark, folder, "conversations").select(
         F.col("conv_id").alias("conv"), F.col("turn").alias("at"), "role", "text"
@@ -74,23 +75,28 @@ def dialogue_calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     def name(turn):
         return F.concat_ws("_", F.lit("call"), F.col("conv").cast("string"), turn.cast("string"))
 
-    odd = F.col("conv") % 2 == 1
-    need = F.when(odd, name(F.col("at") + 2)).when(F.col("at") >= 2, name(F.col("at") - 2))
-    tool = F.when((F.col("conv") + F.col("at")) % 3 == 0, "lookup").otherwise("search")
+    conv, at = F.col("conv"), F.col("at")
+    odd = conv % 2 == 1
+    need = F.when(odd, name(at + 2)).when(at >= 2, name(at - 2))
+    other = F.when((conv % 7 == 3) & (at % 64 == 8), name(at - 4)).when((conv % 11 == 6) & (at % 16 == 0), name(at + 2))
+    tool = F.when((conv + at) % 17 == 4, "compute").when((conv + at) % 3 == 0, "lookup").otherwise("search")
+    shift = F.when((conv * 3 + at) % 38 == 2, F.lit(2)).otherwise(F.lit(0))
     arguments = F.to_json(
         F.struct(
             F.col("at").alias("turn"),
             F.col("text").alias("query"),
-            F.when(tool == "search", F.array_compact(F.array(need))).alias("after"),
+            F.when(tool == "search", F.array_compact(F.array(need, other))).alias("after"),
             F.when((tool == "lookup") & (F.col("conv") % 5 != 0), F.col("at") + 1).alias("limit"),
         )
     )
+    broken = (conv + at) % 23 == 7
     calls = turns.filter("role = 'user'").select(
-        "conv", name(F.col("at")).alias("id"), "at", tool.alias("tool"), arguments.alias("arguments"),
-        F.array_compact(F.array(need)).alias("needs"),
+        "conv", name(at - shift).alias("id"), "at", tool.alias("tool"),
+        F.when(broken, F.substring(arguments, F.lit(2), F.length(arguments))).otherwise(arguments).alias("arguments"),
+        F.array_compact(F.array(need, other)).alias("needs"),
     )
     results = turns.filter("role = 'assistant'").select(
-        "conv", name(F.col("at") - 1).alias("id"), "at", F.col("text").alias("content")
+        "conv", name(at - 1 - F.when((conv + at) % 29 == 6, F.lit(2)).otherwise(F.lit(0))).alias("id"), "at", F.col("text").alias("content")
     )
     return calls, results
 

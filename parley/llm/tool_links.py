@@ -170,19 +170,27 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tu
 
     ``calls`` holds (conv, id, at, tool, arguments, needs: array of ids), ``results`` (conv, id, at,
     content). Result: conv, id, place (from 1), state (``linked``, ``unanswered``, ``orphan`` for a
-    result without a call, ``cycle``), problems, message (canonical JSON; arguments that are no JSON
-    go in as ``arguments_text``). Of calls or results that repeat an identifier the first by ``at`` counts. Rows
-    with a NULL conversation or identifier are kept and never linked. Places follow level, ``at``
-    and identifier; orphans come last, after calls in cycles.
+    result without a call, ``cycle``, ``repeated``), problems, message (canonical JSON; arguments that are no
+    JSON go in as ``arguments_text``). Of calls or results that repeat an identifier the first by ``at`` counts (then
+    by tool and arguments, or content); the others are rows of their own, ``repeated`` and never linked, of
+    which each copy stays. Rows with a NULL conversation or identifier are kept and never linked. Places
+    follow level, ``at`` and identifier; orphans come after calls in cycles, and repeated rows last.
     """
 
-    def first(rows: DataFrame, values: list[str]) -> DataFrame:
-        told = rows.filter(F.col("conv").isNotNull() & F.col("id").isNotNull())
-        kept = told.groupBy("conv", "id").agg(F.min(F.struct("at", *values)).alias("r"))
-        return kept.select("conv", "id", "r.*")
-
-    named = staged(first(calls, ["tool", "arguments", "needs"]), "tool-calls")
-    answers = first(results, ["content"]).withColumnsRenamed({"conv": "_conv", "id": "_id", "at": "_at"})
+    def first(rows: DataFrame, values: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+        """The first row of each identifier, and all others."""
+        told = rows.filter(F.col("conv").isNotNull() & F.col("id").isNotNull()).select("conv", "id", "at", *values)
+        # stored with a number, so that of equal rows one is the first
+        told = staged(told.withColumn("_row", F.monotonically_increasing_id()), name)
+        found = told.groupBy("conv", "id").agg(F.min(F.struct("at", *values, "_row")).alias("r"), F.count("*").alias("n"))
+        found = staged(found, f"{name}-first")
+        several = found.filter("n > 1").select("conv", "id", F.col("r._row").alias("_kept"))
+        others = told.join(several, ["conv", "id"]).filter("_row <> _kept").drop("_row", "_kept")
+        return found.select("conv", "id", "r.*").drop("_row"), others
+
+    named, more_calls = first(calls, ["tool", "arguments", "needs"], "tool-calls")
+    answers, more_results = first(results, ["content"], "tool-results")
+    answers = answers.withColumnsRenamed({"conv": "_conv", "id": "_id", "at": "_at"})
     needs = named.select("conv", "id", F.explode("needs").alias("needed"))
     order = levels(named, needs)
     calls = calls.select("conv", "id", "at", "tool", "arguments", "needs")
@@ -194,20 +202,25 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tu
     unnamed = F.col("conv").isNull() | F.col("id").isNull()
     lost_calls = calls.filter(unnamed).withColumns({"call": F.lit(True), "level": F.lit(0)}).drop("needs")
     lost_results = results.filter(unnamed).withColumn("_at", F.col("at"))
+    again = F.lit(True)
     rows = (
         joined.drop("_conv", "_id", "needs")
         .unionByName(lost_calls, allowMissingColumns=True)
         .unionByName(lost_results, allowMissingColumns=True)
+        .withColumn("again", F.lit(False))
+        .unionByName(more_calls.drop("needs").withColumns({"call": F.lit(True), "again": again}), allowMissingColumns=True)
+        .unionByName(more_results.withColumns({"_at": F.col("at"), "again": again}), allowMissingColumns=True)
     )
     is_call, answered = F.col("call").isNotNull(), F.col("_at").isNotNull()
     state = (
-        F.when(~is_call, "orphan")
+        F.when(F.col("again"), "repeated")
+        .when(~is_call, "orphan")
         .when(F.col("level").isNull(), "cycle")
         .when(answered, "linked")
         .otherwise("unanswered")
     )
     wrong = F.when(is_call, problems(F.col("tool"), F.col("arguments"), schemas))
-    rows = rows.withColumns({"state": state, "problems": wrong, "_call": (~is_call).cast("int")})
+    rows = rows.withColumns({"state": state, "problems": wrong, "_call": F.when(F.col("again"), 2).when(is_call, 0).otherwise(1)})
     rows = rows.withColumn("_level", F.coalesce("level", F.lit(1 << 62)))
     ordered = with_position(rows, ["conv"], ["_call", "_level", "at", "id"], "place")
     return ordered.select("conv", "id", "place", "state", "problems", message().alias("message"))
