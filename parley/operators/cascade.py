@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.numeric import argmax, round_exact, softmax
+from parley.operators.classmetrics import join_groups, label_scores
 from parley.operators.labels import stage_id, stage_of, strategy_name
 from parley.schema import MODULES, PREDICTION_FIELDS, STAGE_PROBS, STRATEGY_PROBS
 from parley.session import durable
@@ -121,6 +122,61 @@ def score_by_route(
     return union
 
 
+def _active(sizes: Mapping[str, float], stage: Column, modules: tuple[str, ...]) -> Column:
+    """Size of those of ``modules`` that a row with this predicted stage consults."""
+    consulted = {
+        FIRST: F.lit(True),
+        SECOND: stage != "Exploration",
+        EXPLORE: stage == "Exploration",
+        COMFORT: stage == "Comforting",
+        ACT: stage == "Action",
+    }
+    total = F.lit(0.0)
+    for module in modules:
+        total = total + F.when(consulted[module], float(sizes[module])).otherwise(0.0)
+    return total
+
+
+def report(predictions: DataFrame, sizes: Mapping[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """How well stages and strategies are told, and at what cost: one row per group and level.
+
+    Columns: level (``stage``, ``strategy``), rows, accuracy, macro_f1, weighted_f1, total_params, active_params,
+    sparsity. Predictions are read once and counted by (group, level, true, predicted, route) before anything
+    moves; all later steps work on these counts. Groups may be NULL.
+    """
+    keep = [*by, "level"]
+    levels = F.array(
+        *[
+            F.struct(F.lit(x).alias("level"), F.col(f"{x}_true").alias("t"), F.col(f"{x}_pred").alias("p"))
+            for x in ("stage", "strategy")
+        ]
+    )
+    counted = (
+        predictions.select(*by, F.col("stage_pred").alias("route"), F.explode(levels).alias("l"))
+        .groupBy(*by, F.col("l.level").alias("level"), F.col("l.t").alias("true_label"), F.col("l.p").alias("pred_label"), "route")
+        .agg(F.count("*").alias("n"))
+    )
+    pairs = counted.groupBy(*keep, "true_label", "pred_label").agg(F.sum("n").alias("n"))
+    scores = label_scores(pairs, keep).groupBy(*keep).agg(
+        F.sum("support").alias("rows"),
+        (F.sum("hits") / F.sum("support")).alias("accuracy"),
+        F.avg("f1").alias("macro_f1"),
+        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+    )
+    every = tuple(sizes)
+    of_level = F.when(F.col("level") == "stage", _active(sizes, F.col("route"), (FIRST, SECOND))).otherwise(
+        _active(sizes, F.col("route"), every)
+    )
+    total = F.when(F.col("level") == "stage", float(sizes[FIRST] + sizes[SECOND])).otherwise(float(sum(sizes.values())))
+    costs = counted.groupBy(*keep).agg(
+        F.max(total).alias("total_params"), (F.sum(of_level * F.col("n")) / F.sum("n")).alias("active_params")
+    )
+    columns = [*scores.columns, "total_params", "active_params"]
+    return join_groups(scores, costs, keep).select(
+        *columns, ((1 - F.col("active_params") / F.col("total_params")) * 100).alias("sparsity")
+    )
+
+
 def cost(predictions: DataFrame, sizes: Mapping[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """Mean size of the modules a row consults, against the size of all of them."""
     stage = F.col("stage_pred")

@@ -129,13 +129,13 @@ def scorers(models: dict[str, PipelineModel]) -> dict[str, Callable[[DataFrame],
 
     A module that looks at one turn only is given the current turn, all others the full context.
     """
-    width = {name: turns for name, *_, turns in MODULES}
-    return {
-        name: partial(
-            score_text, model, output=name, text="current_turn" if width[name] == 1 else "context"
-        )
-        for name, model in models.items()
-    }
+    return {name: partial(score_text, model, output=name, text=module_input(name)) for name, model in models.items()}
+
+
+def module_input(name: str) -> str:
+    """The column that a module reads."""
+    width = {module: turns for module, *_, turns in MODULES}
+    return "current_turn" if width[name] == 1 else "context"
 
 
 def save_models(models: dict[str, PipelineModel], path: str) -> None:

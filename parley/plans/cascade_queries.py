@@ -9,10 +9,11 @@ from parley.functions.numeric import argmax, round_exact
 from parley.operators import cascade
 from parley.operators.classmetrics import class_f1, class_table, split_scores, strategy_metrics
 from parley.operators.context import evaluation_examples
-from parley.operators.training import fit_best, score_text, scorers, train_modules
+from parley.operators.positions import CELL
+from parley.operators.training import fit_best, module_input, score_text, scorers, train_modules
 from parley.plans import corpus
-from parley.plans.corpus_sql import LABELLED, NAMES, STAGE_IDS, STAGE_OF, case
-from parley.schema import ENCODERS, MODULES, PREDICTION_FIELDS, STAGES
+from parley.plans.corpus_sql import LABELLED, NAMES, PREDICTIONS, STAGE_IDS, STAGE_OF, case, strip
+from parley.schema import ENCODERS, MODULES, PREDICTION_FIELDS, STAGE_PROBS, STAGES, STRATEGY_PROBS
 from parley.session import durable
 
 # every element of an embedding counts in one of twelve logits, by its place modulo twelve
@@ -124,6 +125,39 @@ def train_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return cascade.predict(scored, keep=("conv_id", "turn_idx"))
 
 
+def train_cascade_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out quality and cost of the trained cascade."""
+    return cascade.report(train_cascade(spark, folder), SIZES)
+
+
+def cascade_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The same report by split for the cascade over the embeddings."""
+    rows = _predictions(spark, folder).withColumn("split", corpus.split_name("vec_id"))
+    found = cascade.report(rows, SIZES, ("split",))
+    numbers = ("accuracy", "macro_f1", "weighted_f1", "total_params", "active_params", "sparsity")
+    return found.select("split", "level", "rows", *[F.round(c, 6).alias(c) for c in numbers])
+
+
+def _by_length(text: str, place: int, classes: int) -> Column:
+    """Fixed scores of a text that follow from its length."""
+    weights = [(F.length(text) * (31 + 7 * place) + 17 * i) % 97 + 1 for i in range(classes)]
+    total = sum(weights[1:], weights[0])
+    return F.array(*[(w / total).cast("double") for w in weights])
+
+
+def cascade_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """What each module reads: the predictor of one turn the current turn, all others the full context."""
+    rows = evaluation_examples(corpus.utterances(spark, folder, CELL)).select(
+        "conv_id", "turn_idx", "context", "current_turn", "strategy_true_id"
+    )
+    score = {
+        name: (lambda df, name=name, place=place, n=len(labels): df.withColumn(name, _by_length(module_input(name), place, n)))
+        for place, (name, labels, *_) in enumerate(MODULES)
+    }
+    found = cascade.predict(cascade.score_by_route(rows, score), keep=("conv_id", "turn_idx"))
+    return found.select("conv_id", "turn_idx", "strategy_pred_id", "stage_pred", *STAGE_PROBS, *STRATEGY_PROBS)
+
+
 def train_language_identifier(spark: SparkSession, folder: str) -> DataFrame:
     """A classifier that can be learnt from the given data: English against the rest, by document."""
     rows = durable(
@@ -151,7 +185,10 @@ QUERIES = {
     "stage_prf": stage_prf,
     "split_scores": scores_by_split,
     "strategy_metrics": metrics_row,
+    "cascade_report": cascade_report,
+    "cascade_inputs": cascade_inputs,
     "train_cascade": train_cascade,
+    "train_cascade_report": train_cascade_report,
     "train_language_identifier": train_language_identifier,
 }
 
@@ -188,6 +225,15 @@ casc AS (SELECT vec_id, {case('stage_pred', STAGE_IDS)} AS stage_pred_id, {case(
   {", ".join(f"CASE WHEN b_id0 <> 0 AND b_id1 = 0 THEN round(co[{i}], 4) ELSE -1.0 END AS prob_{s}" for i, s in ((1, 'rf'), (2, 'sd'), (3, 'ar')))},
   {", ".join(f"CASE WHEN b_id0 <> 0 AND b_id1 = 1 THEN round(ac[{i}], 4) ELSE -1.0 END AS prob_{s}" for i, s in ((1, 'ps'), (2, 'in')))}
   FROM stages)"""
+_SPLIT = "CASE WHEN vec_id % 10 < 8 THEN 'train' WHEN vec_id % 10 = 8 THEN 'validation' ELSE 'test' END"
+# probabilities of the modules on the route, as in the cascade above
+_PROBS_OF = _CASCADE[_CASCADE.index("  round(id0[1], 4) AS prob_ex") : _CASCADE.index("  FROM stages)")].replace("round(", "round_even(")
+
+
+def _weights(place: int, classes: int, length: str) -> str:
+    parts = [f"(({length} * {31 + 7 * place} + {17 * i}) % 97 + 1)" for i in range(classes)]
+    return "[" + ", ".join(f"CAST({p} AS double) / ({' + '.join(parts)})" for p in parts) + "]"
+
 
 
 def f1_sql(source: str, by: str, true: str, pred: str) -> str:
@@ -218,6 +264,22 @@ ORACLES = {
     "cascade_by_route": f"WITH {_CASCADE} SELECT {_FIELDS} FROM casc",
     "stage_predictions": f"""WITH {_CASCADE} SELECT vec_id, stage_pred_id AS y_pred, stage_true_id AS y_true,
   CASE WHEN stage_pred = 'Exploration' THEN prob_ex ELSE -1.0 END AS prob_ex, prob_co, prob_ac, prob_ot FROM casc""",
+    "cascade_report": f"""
+WITH {_CASCADE}, u AS (
+  SELECT {_SPLIT} || '/stage' AS g, stage_true AS t, stage_pred AS p, CASE WHEN stage_pred = 'Exploration' THEN {_A} ELSE {_A + _B} END AS active FROM casc
+  UNION ALL SELECT {_SPLIT} || '/strategy', strategy_true, strategy_pred, {_ACTIVE} FROM casc),
+{f1_sql('u', 'g', 't', 'p')}, costs AS (SELECT g, avg(CAST(active AS double)) AS active,
+  CASE WHEN g LIKE '%/stage' THEN {_A + _B} ELSE {sum(SIZES.values())} END AS total FROM u GROUP BY g)
+SELECT split_part(g, '/', 1) AS split, split_part(g, '/', 2) AS level, rows, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+  round(weighted_f1, 6) AS weighted_f1, total AS total_params, round(active, 6) AS active_params,
+  round((1 - active / total) * 100, 6) AS sparsity FROM f1s JOIN costs USING (g)""",
+    "cascade_inputs": f"""
+WITH {PREDICTIONS}, read AS (SELECT conv_id, turn_idx, length(context) AS lc, length({strip('context1')}) AS lt FROM examples JOIN
+  (SELECT conv_id, turn_idx, context1 FROM ctx) USING (conv_id, turn_idx)),
+s AS (SELECT conv_id, turn_idx, {", ".join(_weights(place, len(labels), 'lt' if turns == 1 else 'lc') + f" AS {n}" for place, (n, (_, labels, _, _, turns)) in enumerate(zip(_NAMES, MODULES)))} FROM read),
+b AS (SELECT *, {_BEST} FROM s),
+r AS (SELECT *, CAST(CASE WHEN b_id0 = 0 THEN b_ex WHEN b_id1 = 0 THEN b_co + 2 WHEN b_id1 = 1 THEN b_ac + 5 ELSE 7 END AS int) AS strategy_pred_id FROM b)
+SELECT conv_id, turn_idx, strategy_pred_id, {case('strategy_pred_id', STAGE_OF)} AS stage_pred, {_PROBS_OF} FROM r""",
     "cascade_cost": f"""WITH {_CASCADE}, c AS (SELECT CAST({_ACTIVE} AS double) AS active,
     CAST(CASE WHEN stage_pred = 'Exploration' THEN {_A} ELSE {_A + _B} END AS double) AS stage_active FROM casc)
 SELECT {sum(SIZES.values())} AS total_params, round(avg(active), 6) AS active_params,

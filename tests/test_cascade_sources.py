@@ -66,6 +66,32 @@ def test_routes(spark):
     assert cost["active_params"] == pytest.approx(mean) and cost["sparsity"] == pytest.approx((1 - mean / 31) * 100)
 
 
+def test_report_against_plain_counts(spark):
+    names = {0: "Exploration", 1: "Exploration", 7: "Others"} | dict.fromkeys((2, 3, 4), "Comforting") | dict.fromkeys((5, 6), "Action")
+    rows = [(None if i % 5 == 0 else "g", f"s{i * 7 % 8}", f"s{i * 3 % 8}", names[i * 7 % 8], names[i * 3 % 8]) for i in range(41)]
+    df = spark.createDataFrame(rows, "split string, strategy_true string, strategy_pred string, stage_true string, stage_pred string")
+    sizes = dict(zip(NAMES, (1, 2, 4, 8, 16)))
+    found = {(r["split"], r["level"]): r for r in cascade.report(df, sizes, ("split",)).collect()}
+    assert len(found) == 4
+    for (split, level), r in found.items():
+        own = [(x[1:3] if level == "strategy" else x[3:5]) + (x[4],) for x in rows if x[0] == split]
+        labels = {x for t, p, _ in own for x in (t, p)}
+        f1 = {}
+        for label in labels:
+            hits = sum(t == p == label for t, p, _ in own)
+            f1[label] = 2 * hits / (sum(t == label for t, _, _ in own) + sum(p == label for _, p, _ in own))
+        assert r["rows"] == len(own) and r["accuracy"] == pytest.approx(sum(t == p for t, p, _ in own) / len(own))
+        assert r["macro_f1"] == pytest.approx(sum(f1.values()) / len(f1))
+        assert r["weighted_f1"] == pytest.approx(sum(f1[t] for t, _, _ in own) / len(own))
+        more = {"Exploration": 4, "Comforting": 8, "Action": 16, "Others": 0}
+        stage = [1 if s == "Exploration" else 3 for *_, s in own]
+        active = stage if level == "stage" else [n + more[s] for n, (*_, s) in zip(stage, own)]
+        assert r["total_params"] == (3 if level == "stage" else 31)
+        assert r["active_params"] == pytest.approx(sum(active) / len(active))
+        assert r["sparsity"] == pytest.approx((1 - r["active_params"] / r["total_params"]) * 100)
+    assert cascade.report(df.filter("false"), sizes).collect() == []
+
+
 def test_classifier_beats_the_majority(spark, tmp_path):
     rows = durable(
         corpus.documents(spark, "/root/testdata/sf0.001").select(
