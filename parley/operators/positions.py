@@ -26,9 +26,9 @@ def with_turn_index(
     """Keep the ``counted`` rows of each conversation, number them from 0, attach the situation.
 
     ``turns`` is ``(conv_id, turn, role, text)``; ``system`` rows give the situation, all others
-    are counted unless told otherwise. Rows are read and moved once, by (conversation, piece of ``cell``
-    turns): what a piece carries over is summed up from the same exchange, and only conversations
-    that reach beyond one piece carry anything, so that table is small. With ``keep`` the rows
+    are counted unless told otherwise. Rows move once, by (conversation, piece of ``cell`` turns); what a
+    piece carries over is summed up by the same key, and only conversations that reach beyond one piece
+    carry anything, so that table is small. With ``keep`` the rows
     keep ``_piece``, by which they lie together, and ``_several``, true where there are other pieces.
     """
     system = F.col("role") == "system"

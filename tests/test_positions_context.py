@@ -169,6 +169,7 @@ def scans(df, capsys):
 
 
 def test_conversations_are_read_once(spark, capsys):
+    """Where every conversation fits a piece, the branches for the seams fall away at run time."""
     from parley.plans import context_queries, matching_queries
 
     folder = "/root/testdata/sf0.001"
