@@ -177,7 +177,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     each = each.agg(F.count("*").alias("n"), F.bool_or(F.col("k") == F.col("component_id")).alias("stays"))
     gone, again = each.filter("NOT stays").select("k"), each.filter("stays AND n > 1").select("k")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
-    kept = rows.join(gone, "k", "left_anti")
+    # merged at any size: a table of keys that is broadcast while it is small would change the plan as it grows
+    kept = rows.join(gone.hint("merge"), "k", "left_anti")
     if again.limit(1).count():
         once = kept.join(again, "k", "left_semi").withColumn("digest", F.sha2("t", 256)).dropDuplicates(["k", "digest"])
         kept = kept.join(again, "k", "left_anti").unionByName(once.drop("digest"))
