@@ -82,28 +82,46 @@ class _Slots:
             self.owner = np.concatenate([self.owner, np.full(len(self.owner), -1, dtype=np.int32)])
             self.target = np.concatenate([self.target, np.zeros(len(self.target), dtype=np.int32)])
 
-    def add(self, ways: list[dict[int, int]], step: int = 4096) -> None:
+    def add(self, ways: list[dict[int, int]], size: int, step: int = 1024) -> None:
+        """Place the states of one automaton over letters below ``size``."""
         base = len(self.offset)
         self.offset += [0] * len(ways)
-        # combs with many teeth first; those with one fill the gaps
-        for state in sorted(range(len(ways)), key=lambda s: -len(ways[s])):
+        # what earlier automata have filled is not looked through again
+        self.low = size + next(iter(np.flatnonzero(self.owner[size:] < 0).tolist()), max(len(self.owner) - size, 0))
+        several = sorted((s for s in range(len(ways)) if len(ways[s]) > 1), key=lambda s: -len(ways[s]))
+        for state in several:
             letters = sorted(ways[state])
-            if not letters:
-                continue
             while self.low < len(self.owner) and self.owner[self.low] >= 0:
                 self.low += 1
             shift = max(self.low, letters[0]) - letters[0]
             while True:
                 self._room(shift + letters[-1] + step)
-                fits = np.logical_and.reduce([self.owner[shift + c : shift + c + step] < 0 for c in letters])
-                if fits.any():
-                    shift += int(fits.argmax())
+                fits = self.owner[shift + letters[0] : shift + letters[0] + step] < 0
+                for c in letters[1:]:
+                    fits &= self.owner[shift + c : shift + c + step] < 0
+                first = int(fits.argmax())
+                if fits[first]:
+                    shift += first
                     break
                 shift += step
             self.offset[base + state] = shift
             at = shift + np.array(letters)
             self.owner[at] = base + state
             self.target[at] = base + np.array([ways[state][c] for c in letters])
+        # nearly all states have one way: they fill what is free, all at once
+        single = [(s, *way) for s in range(len(ways)) if len(ways[s]) == 1 for way in ways[s].items()]
+        if not single:
+            return
+        states, letters, targets = (np.array(x) for x in zip(*single))
+        free = size + np.flatnonzero(self.owner[size:] < 0)
+        if len(free) < len(single):
+            self._room(len(self.owner) + len(single))
+            free = size + np.flatnonzero(self.owner[size:] < 0)
+        at = free[: len(single)]
+        for state, shift in zip(states.tolist(), (at - letters).tolist()):
+            self.offset[base + state] = shift
+        self.owner[at] = base + states
+        self.target[at] = base + targets
 
 
 def learned(samples: dict[str, str]) -> dict:
@@ -121,7 +139,7 @@ def learned(samples: dict[str, str]) -> dict:
     for number, language in enumerate(languages):
         ways = Automaton(codes[[ord(c) for c in samples[language]]].tolist()).ways
         base = len(slots.offset)
-        slots.add(ways)
+        slots.add(ways, len(letters) + 1)
         roots.append(base)
         starts[number] = base
         for code, to in ways[0].items():

@@ -171,7 +171,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tu
     ``calls`` holds (conv, id, at, tool, arguments, needs: array of ids), ``results`` (conv, id, at,
     content). Result: conv, id, place (from 1), state (``linked``, ``unanswered``, ``orphan`` for a
     result without a call, ``cycle``, ``repeated``), problems, message (canonical JSON; arguments that are no
-    JSON go in as ``arguments_text``). Of calls or results that repeat an identifier the first by ``at`` counts (then
+    JSON go in as ``arguments_text``). A need named twice is one. Of calls or results that repeat an identifier the first by ``at`` counts (then
     by tool and arguments, or content); the others are rows of their own, ``repeated`` and never linked, of
     which each copy stays. Rows with a NULL conversation or identifier are kept and never linked. Places
     follow level, ``at`` and identifier; orphans come after calls in cycles, and repeated rows last.
@@ -191,7 +191,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tu
     named, more_calls = first(calls, ["tool", "arguments", "needs"], "tool-calls")
     answers, more_results = first(results, ["content"], "tool-results")
     answers = answers.withColumnsRenamed({"conv": "_conv", "id": "_id", "at": "_at"})
-    needs = named.select("conv", "id", F.explode("needs").alias("needed"))
+    needs = named.select("conv", "id", F.explode(F.array_distinct("needs")).alias("needed"))
     order = levels(named, needs)
     calls = calls.select("conv", "id", "at", "tool", "arguments", "needs")
     results = results.select("conv", "id", "at", "content")
