@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,27 +131,29 @@ def trigram_match_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([trigram_match(h, r, profiles) for h, r in zip(hyp, ref)], dtype="float64")
 
 
-def vector_match(hyp, ref) -> float:
-    """Soft match over ``(count, vector)`` rows; tokens without a vector match nothing."""
-
-    def unit(side):
-        counts = np.array([row["count"] for row in side], dtype=float)
-        size = max((len(row["vector"]) for row in side if row["vector"] is not None), default=1)
-        table = np.zeros((len(side), size))
-        for i, row in enumerate(side):
-            if row["vector"] is not None:
-                table[i] = row["vector"]
-        norms = np.linalg.norm(table, axis=1, keepdims=True)
-        return counts, np.divide(table, norms, out=np.zeros_like(table), where=norms > 0)
-
-    if len(hyp) == 0 or len(ref) == 0:
+def vector_table(vectors: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow list array as rows of length 1, or 0 where there is none."""
+    sizes = pc.list_value_length(vectors)
+    known = sizes.is_valid().to_numpy(zero_copy_only=False)
+    sizes = sizes.drop_null().to_numpy()
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
+    table = np.zeros((len(vectors), sizes.max(initial=0) if len(sizes) else 1))
+    if (sizes == table.shape[1]).all():
+        table[known] = values.reshape(len(sizes), table.shape[1])
+    else:
+        for i, vector in zip(np.flatnonzero(known), np.split(values, np.cumsum(sizes)[:-1])):
+            table[i] = vector
+    norms = np.linalg.norm(table, axis=1, keepdims=True)
+    return np.divide(table, norms, out=np.zeros_like(table), where=norms > 0)
+
+
+def vector_match(hyp: tuple[pa.Array, pa.Array], ref: tuple[pa.Array, pa.Array]) -> float:
+    """Soft match over the ``(counts, vectors)`` of two sides; tokens without a vector match nothing."""
+    if len(hyp[0]) == 0 or len(ref[0]) == 0:
         return 0.0
-    (left_counts, left), (right_counts, right) = unit(hyp), unit(ref)
+    (left_counts, left), (right_counts, right) = [
+        (counts.to_numpy().astype(float), vector_table(vectors)) for counts, vectors in (hyp, ref)
+    ]
     if left.shape[1] != right.shape[1]:
         return 0.0
     return best_match_f1(lambda i, j: left[i] @ right[j].T, left_counts, right_counts)
-
-
-@F.pandas_udf(T.DoubleType())
-def vector_match_f1(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([vector_match(h, r) for h, r in zip(hyp, ref)], dtype="float64")

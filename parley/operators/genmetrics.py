@@ -7,24 +7,33 @@ spot. Distinct k-grams are the one thing that needs a shuffle; equal ones are co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parley.functions.alignment import (
     ORDERS,
     clipped_matches,
     lcs_length,
     trigram_match_f1,
-    vector_match_f1,
+    vector_match,
 )
 from parley.functions.numeric import round_exact
 from parley.functions.text import present
 from parley.functions.tokens import blank_tokens, labelled_grams, punctuation_tokens, word_tokens
+from parley.operators.positions import whole_groups
 from parley.schema import SUMMARY_FIELDS
 
 TOKENIZERS = {"words": word_tokens, "punctuation": punctuation_tokens, "blanks": blank_tokens}
 SMOOTHING = 5
 BETA = 1.2
+# rows whose scores go on together
+SCORED = 1024
 
 
 def tokenized(
@@ -193,7 +202,9 @@ def soft_match_with_vectors(
     """Soft match per pair with given token vectors ``(token, vector)``.
 
     A row asks once for each of its distinct tokens. Common words are asked for by nearly every
-    row, so the vector table is repeated ``salts`` times and rows spread over the copies.
+    row, so the vector table is repeated ``salts`` times and rows spread over the copies. Tokens with
+    their vectors then lie together by row and pass one by one: a task's Python holds a batch of them
+    and the tokens of one row, however many and long the rows are.
     """
     tokens = tokenized(pairs, [], key, ref, hyp, tokenizer)
     sides = F.concat(
@@ -209,16 +220,26 @@ def soft_match_with_vectors(
     spread = vectors.select("token", "vector").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
     )
-    entry = F.struct("count", "vector")
-    return (
-        asked.join(spread, ["token", "_salt"], "left")
-        .groupBy(*key)
-        .agg(
-            F.collect_list(F.when(F.col("is_ref") == 0, entry)).alias("_hyp"),
-            F.collect_list(F.when(F.col("is_ref") == 1, entry)).alias("_ref"),
-        )
-        .select(*key, vector_match_f1("_hyp", "_ref").alias("soft_match"))
-    )
+    found = asked.join(spread, ["token", "_salt"], "left").select(*key, "is_ref", "count", "vector")
+    shape = StructType([*found.select(*key).schema.fields, StructField("soft_match", DoubleType())])
+    places = list(range(len(key)))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = whole_groups(batches, places)
+        while some := list(islice(map(one, rows), SCORED)):
+            keys = pa.concat_tables([k for k, _ in some]).combine_chunks()
+            columns = [column.chunk(0) for column in keys.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in some], pa.float64())], shape.names)
+
+    def one(row: pa.Table) -> tuple[pa.Table, float]:
+        """A row's key and score."""
+        is_ref, count, vector = (row.column(len(places) + i).combine_chunks() for i in range(3))
+        sides = [pc.equal(is_ref, side) for side in (0, 1)]
+        score = vector_match(*[(count.filter(own), vector.filter(own)) for own in sides])
+        # a copy, as a slice would keep the whole batch
+        return row.select(places).take([0]), score
+
+    return found.repartition(*key).sortWithinPartitions(*key).mapInArrow(scored, shape)
 
 
 def summary(metrics: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:

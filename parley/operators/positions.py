@@ -90,6 +90,27 @@ def _group_of(columns: list[pa.Array], row: int) -> tuple:
     return tuple("NaN" if isinstance(v, float) and math.isnan(v) else v for v in values)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.Table]:
+    """The rows of each group, by the columns at ``places``, where groups lie together.
+
+    A group may go on over batches; no more than the batches of one group are held.
+    """
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i) for i in places]
+        cuts = [0, *(np.flatnonzero(_changes(keys)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if held and (start or _group_of(keys, 0) != now):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+        now = _group_of(keys, batch.num_rows - 1)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _edges(ranged: DataFrame, group: list[str]) -> dict[int, int]:
     """What the first group of each part counts in the parts before it.
 

@@ -125,6 +125,47 @@ def test_soft_match_with_vectors(spark):
     assert got[2] == 0.0 and got[3] == 0.0
 
 
+def _soft_vectors(hyp, ref, vectors):
+    """Greedy soft match of two token lists with given vectors, token by token."""
+    def alike(a, b):
+        x, y = vectors.get(a), vectors.get(b)
+        if x is None or y is None:
+            return 0.0
+        return sum(i * j for i, j in zip(x, y)) / math.sqrt(sum(i * i for i in x) * sum(j * j for j in y))
+
+    if not hyp or not ref:
+        return 0.0
+    p = sum(max(alike(a, b) for b in ref) for a in hyp) / len(hyp)
+    r = sum(max(alike(a, b) for a in hyp) for b in ref) / len(ref)
+    return 2 * p * r / (p + r) if p + r else 0.0
+
+
+def test_soft_match_takes_tokens_one_by_one(spark):
+    chance = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    vectors = {w: [chance.random() + 0.1 for _ in range(5)] for w in words[:50]}
+    texts = {}
+    for key in [(a, b) for a in (None, 1, 2**60 + 1) for b in (None, "x", "y")]:
+        texts[key] = [chance.choices(words, k=chance.choice([0, 1, 40, 90])) for _ in range(2)]
+    texts[3, "empty"] = [[], []]
+    df = spark.createDataFrame(
+        [(*key, " ".join(r), " ".join(h)) for key, (r, h) in texts.items()], "a long, b string, r string, h string"
+    )
+    table = spark.createDataFrame([(w, v) for w, v in vectors.items()], "token string, vector array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = gm.soft_match_with_vectors(df, table, ["a", "b"], "r", "h")
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = {(row["a"], row["b"]): row["soft_match"] for row in rows}
+    assert len(rows) == len(texts)
+    assert got == {key: pytest.approx(_soft_vectors(h, r, vectors)) for key, (r, h) in texts.items()}
+    # no row that goes to Python holds all tokens of a text
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_missing_results(spark):
     df = spark.createDataFrame([("a", "x")], "llm_alias string, classifier string")
     rows = gm.missing_results(df, [("a", "x"), ("a", "y")]).collect()

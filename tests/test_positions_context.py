@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,17 @@ def test_nulls(talk):
     report = {r["column_name"]: r["nulls"] for r in cx.null_report(talk, ["text", "situation"]).collect()}
     assert report == {"text": 1, "situation": 6}
     assert cx.fill_nulls(talk, ["text"]).filter("text is null").isEmpty()
+
+
+def test_whole_groups_hold_one_group():
+    drawn = []
+
+    def batches():
+        for i, keys in enumerate([[1, 1, 2], [], [2, 2], [2, None], [None, 5]]):
+            drawn.append(i)
+            yield pa.RecordBatch.from_pydict({"v": pa.array(range(len(keys))), "k": pa.array(keys, pa.int64())})
+
+    found = positions.whole_groups(batches(), [1])
+    assert next(found).to_pydict() == {"v": [0, 1], "k": [1, 1]} and drawn == [0]
+    rest = [(g["k"].to_pylist(), g["v"].to_pylist()) for g in found]
+    assert rest == [([2] * 4, [2, 0, 1, 0]), ([None] * 2, [1, 0]), ([5], [1])]
