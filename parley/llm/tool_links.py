@@ -222,7 +222,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tu
     wrong = F.when(is_call, problems(F.col("tool"), F.col("arguments"), schemas))
     rows = rows.withColumns({"state": state, "problems": wrong, "_call": F.when(F.col("again"), 2).when(is_call, 0).otherwise(1)})
     rows = rows.withColumn("_level", F.coalesce("level", F.lit(1 << 62)))
-    ordered = with_position(rows, ["conv"], ["_call", "_level", "at", "id"], "place")
+    ordered = with_position(rows, ["conv"], ["_call", "_level", "at", "id"], "place", native=True)
     return ordered.select("conv", "id", "place", "state", "problems", message().alias("message"))
 
 

@@ -172,11 +172,12 @@ def with_position(
     name: str,
     counted: Column | None = None,
     finer: tuple[list[str], str] | None = None,
+    native: bool = False,
 ) -> DataFrame:
     """``row_number() over (partition by group order by order)`` without one task per group.
 
     With ``counted`` only such rows raise the number. ``finer = (columns, name)`` adds a second
-    number within ``group + columns``.
+    number within ``group + columns``. With ``native`` no Python runs, but rows move once more.
 
     Rows are range-partitioned by (group, order), so a hot group spans many parts, and sorted there. The
     sampled range bounds must not move between the uses of the parts, hence the checkpoint; hand in narrow
@@ -185,12 +186,23 @@ def with_position(
     finer number is shuffled by part and group, and its carried counts are left to the planner.
     """
     steps = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    ranged = durable(
-        df.withColumn("_step", steps)
-        .repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
+    dealt = df.withColumn("_step", steps).repartitionByRange(*group, *order)
+    if not native:
+        dealt = dealt.sortWithinPartitions(*group, *order)
+    ranged = durable(dealt.withColumn("_part", F.spark_partition_id()))
+    if native:
+        result = _finer(ranged, ranged, group, order, name, small=True)
+    else:
+        result = _as_they_lie(ranged, group, name)
+    columns = [*df.columns, name]
+    if finer is not None:
+        result = _finer(ranged, result, [*group, *finer[0]], order, finer[1])
+        columns.append(finer[1])
+    return result.select(*columns)
+
+
+def _as_they_lie(ranged: DataFrame, group: list[str], name: str) -> DataFrame:
+    """The sorted rows of each part numbered within ``group``, going on from the parts before."""
     carried = _edges(ranged, group)
     places = [ranged.columns.index(c) for c in group]
     step, part = ranged.columns.index("_step"), ranged.columns.index("_part")
@@ -221,15 +233,16 @@ def with_position(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names)
 
     shape = T.StructType([*ranged.schema.fields, T.StructField(name, T.LongType())])
-    result = ranged.mapInArrow(number, shape)
-    columns = [*df.columns, name]
-    if finer is not None:
-        result = _finer(ranged, result, [*group, *finer[0]], order, finer[1])
-        columns.append(finer[1])
-    return result.select(*columns)
+    return ranged.mapInArrow(number, shape)
+
 
+def _finer(
+    ranged: DataFrame, rows: DataFrame, keys: list[str], order: list[str], column: str, small: bool = False
+) -> DataFrame:
+    """``rows`` numbered within ``keys`` by windows over the parts, going on from the parts before.
 
-def _finer(ranged: DataFrame, rows: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    ``small``: ``keys`` are those the parts were cut by, so that at most one group a part is carried on.
+    """
     names = [f"_g{i}" for i in range(len(keys))]
     earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -247,7 +260,7 @@ def _finer(ranged: DataFrame, rows: DataFrame, keys: list[str], order: list[str]
     )
     return (
         rows.withColumn("_seen", F.sum("_step").over(seen))
-        .join(carried, same, "left")
+        .join(F.broadcast(carried) if small else carried, same, "left")
         .withColumn(column, F.col("_seen") + F.coalesce("_before", F.lit(0)))
         .drop("_seen", "_p", "_before", *names)
     )

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from parley.llm import tool_links
 
@@ -85,3 +86,11 @@ def test_states_against_a_plain_loop(spark):
         told = json.loads(r["message"])
         assert told["state"] == r["state"] and told.get("id") == r["id"]
         assert json.dumps(told, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["message"]
+
+
+def test_no_python_runs(spark):
+    calls = spark.createDataFrame([(1, "a", 1, "look", '{"n":1}', ["b"]), (1, "b", 2, "find", "{", [])], CALLS)
+    rows = tool_links.linked(calls, spark.createDataFrame([(1, "a", 3, "ok")], RESULTS), TOOLS)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Arrow|Pandas|Python", plan), plan
+    assert [r["id"] for r in rows.orderBy("place").collect()] == ["b", "a"]

@@ -222,3 +222,20 @@ def test_whole_groups_hold_one_group():
     assert next(found).to_pydict() == {"v": [0, 1], "k": [1, 1]} and drawn == [0]
     rest = [(g["k"].to_pylist(), g["v"].to_pylist()) for g in found]
     assert rest == [([2] * 4, [2, 0, 1, 0]), ([None] * 2, [1, 0]), ([5], [1])]
+
+
+def test_native_positions_of_odd_groups(spark):
+    chance = random.Random(12)
+    groups = [None, float("nan"), 0.0, 1.5]
+    rows = [(chance.choice(groups) if i % 3 else 1.5, i, chance.choice("xy"), chance.random() < 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "g double, k long, s string, c boolean").repartition(7)
+    for counted in (None, F.col("c")):
+        found = positions.with_position(df, ["g"], ["k"], "n", counted=counted, finer=(["s"], "m"), native=True)
+        assert "Arrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+        n, m = {}, {}
+        got = sorted(found.collect(), key=lambda r: r["k"])
+        assert len(got) == 600
+        for r in got:
+            step, g = 1 if counted is None or r["c"] else 0, str(r["g"])
+            n[g], m[g, r["s"]] = n.get(g, 0) + step, m.get((g, r["s"]), 0) + step
+            assert (r["n"], r["m"]) == (n[g], m[g, r["s"]])
